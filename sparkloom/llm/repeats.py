@@ -1,0 +1,295 @@
+"""Exact repeated windows of tokens across documents, without a row per window.
+
+A window is `length` consecutive tokens of one document. Which tokens of a document
+are covered by a window that also starts in a document with a smaller id?
+
+Every window contains the smallest-hashed run of `run` tokens in it, its *anchor*,
+and equal windows have equal anchors at equal places. So only anchors travel, about
+one for every (length - run + 2) / 2 tokens:
+
+1. Documents are dealt into batches of bounded bytes by a hash of their id. A batch
+   sends, for each distinct pair of (anchor, context), one entry with its smallest
+   id; the context is all tokens that any window around the anchor can reach. Equal
+   entries within a batch meet before the shuffle, so that a passage in a third of
+   all documents costs an entry for each batch, not for each document.
+2. Entries of an anchor meet. Anchors seen once end here. A context that a smaller
+   document has too settles all its windows at once.
+3. Only where one anchor has several contexts (where copies begin, end or differ),
+   the batch that holds the smallest document of a context sends its windows.
+4. Windows meet; the smallest id of each goes back, and each batch marks its tokens.
+
+Anchors and contexts compare by 48 bits each, together 96, and windows by 64 bits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .hashing import A, BYTE, join, mix, pack6, pack_ids, unpack6, unpack_ids, words_of
+
+SLICE = 1 << 17
+_PLACE = np.uint64((1 << 24) - 1)
+_48 = np.uint64((1 << 48) - 1)
+
+
+@dataclass(frozen=True)
+class Windows:
+    """length: tokens in a window. run: tokens in an anchor. words: tokens are words, else bytes."""
+
+    length: int
+    run: int
+    words: bool
+
+    @property
+    def power(self) -> int:
+        return 1 << (self.length.bit_length() - 1)
+
+    def tokens(self, texts: list[bytes]) -> list[np.ndarray]:
+        return words_of(texts) if self.words else [np.frombuffer(t, np.uint8) for t in texts]
+
+
+class _Slice:
+    """Consecutive tokens of one or more documents, with the hashes of their runs."""
+
+    def __init__(self, w: Windows, parts: list[tuple[int, np.ndarray, int, int, int, int]]):
+        self.w = w
+        self.doc = np.array([p[0] for p in parts])
+        size = np.array([len(p[1]) for p in parts])
+        self.begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        self.origin = self.begin - np.array([p[2] for p in parts])  # where the document's first token would be
+        self.end = self.origin + np.array([p[3] for p in parts])
+        self.first = self.origin + np.array([p[4] for p in parts])  # the windows that this slice answers for
+        self.last = self.origin + np.array([p[5] for p in parts])
+        tokens = np.concatenate([p[1] for p in parts] + [np.zeros(4 * w.length, parts[0][1].dtype)])
+        h = {1: tokens if w.words else BYTE[tokens]}
+        n = 1
+        while n < w.power:
+            h[2 * n] = join(h[n][:-n], h[n][n:])
+            n *= 2
+        self.h = h
+        self.n = int(size.sum())
+
+    def _run(self, n: int) -> np.ndarray:
+        p = 1 << (n.bit_length() - 1)
+        return self.h[p] if p == n else join(self.h[p][: len(self.h[p]) - (n - p)], self.h[p][n - p :])
+
+    def anchors(self):
+        """Document, place, context's begin and end (places in the document), anchor and context hashes."""
+        w, count = self.w, self.w.length - self.w.run + 1
+        run = self._run(w.run)
+        key = (run & ~_PLACE) | np.arange(len(run), dtype=np.uint64)
+        n = 1
+        while 2 * n <= count:
+            key = np.minimum(key[:-n], key[n:])
+            n *= 2
+        if n < count:
+            key = np.minimum(key[: len(key) - (count - n)], key[count - n :])
+        mask = np.zeros(self.n + 1, np.int8)
+        np.add.at(mask, self.first, 1)
+        np.add.at(mask, self.last, -1)
+        at = (key[: self.n][np.cumsum(mask[:-1]).astype(bool)] & _PLACE).astype(np.int64)
+        if len(at):
+            at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+        part = np.searchsorted(self.begin, at, "right") - 1
+        lo = np.maximum(at - (w.length - w.run), self.origin[part])
+        hi = np.minimum(at + w.length, self.end[part])
+        p, h, size = w.power, self.h[w.power], hi - lo
+        context = join(join(h[lo], h[lo + np.maximum(0, (size - p) // 2)]), h[np.maximum(lo, hi - p)])
+        context = mix(context ^ ((at - lo).astype(np.uint64) * A + size.astype(np.uint64)))
+        return self.doc[part], at - self.origin[part], lo - self.origin[part], hi - self.origin[part], run[at] & _48, context & _48
+
+    def windows(self, place: np.ndarray) -> np.ndarray:
+        return self._run(self.w.length)[place]
+
+
+def _slices(w: Windows, docs: list[np.ndarray]) -> Iterator[_Slice]:
+    group, size = [], 0
+    for i, t in enumerate(docs):
+        n = len(t)
+        if n < w.length:
+            continue
+        for s in range(0, n - w.length + 1, SLICE):
+            a, b = max(0, s - w.length), min(n, s + SLICE + 2 * w.length)
+            group.append((i, t[a:b], a, n, s, min(s + SLICE, n - w.length + 1)))
+            size += b - a
+            if size >= SLICE:
+                yield _Slice(w, group)
+                group, size = [], 0
+    if group:
+        yield _Slice(w, group)
+
+
+class _Batch:
+    """The anchors of a batch of documents and their distinct entries, in an order that depends on content alone."""
+
+    def __init__(self, w: Windows, table: pa.Table, buckets: int):
+        self.w, self.ids_or_null = w, table.column("id")
+        self.texts = [t or b"" for t in table.column("data").to_pylist()]
+        self.ids = self.ids_or_null.fill_null(0).to_numpy()
+        self.known = ~self.ids_or_null.is_null().to_numpy(zero_copy_only=False)
+        self.docs = w.tokens(self.texts)
+        found = [s.anchors() for s in _slices(w, [t if k else t[:0] for t, k in zip(self.docs, self.known, strict=True)])]
+        names = ("doc", "at", "lo", "hi", "g", "c")
+        for name, columns in zip(names, zip(*found, strict=True) if found else [[]] * 6, strict=True):
+            setattr(self, name, np.concatenate(columns) if columns else np.zeros(0, np.uint64 if name in "gc" else np.int64))
+        key = join(self.g, self.c)
+        order = np.argsort(key, kind="stable")
+        sorted_key = key[order]
+        fresh = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1])) if len(key) else np.zeros(0, bool)
+        begin = np.flatnonzero(fresh)
+        smallest = np.minimum.reduceat(self.ids[self.doc[order]], begin) if len(begin) else np.zeros(0, np.int64)
+        bucket = (self.g[order[begin]] % np.uint64(buckets)).astype(np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        rank = np.empty_like(by_bucket)
+        rank[by_bucket] = np.arange(len(by_bucket))
+        self.entry = np.empty(len(key), np.int64)
+        self.entry[order] = rank[np.cumsum(fresh) - 1] if len(key) else 0
+        first = order[begin][by_bucket]
+        self.entry_g, self.entry_c, self.entry_id = self.g[first], self.c[first], smallest[by_bucket]
+        self.begin = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+
+    def settle(self, answers: pa.Table) -> None:
+        """least: the smallest id of each entry's context anywhere. open: whether its anchor has other contexts."""
+        self.least, self.open = self.entry_id.copy(), np.zeros(len(self.entry_id), bool)
+        kinds = answers.column("kind").to_pylist()
+        rows = [r for r, k in zip(answers.to_pylist() if 1 in kinds else [], kinds, strict=False) if k == 1]
+        for r in rows:
+            at = np.frombuffer(r["place"], "<u4") + self.begin[r["bucket"]]
+            self.least[at] = unpack_ids(r["least"])
+            self.open[at] = np.frombuffer(r["open"], np.uint8).astype(bool)
+
+    def open_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, place and hash of the windows that their contexts don't settle."""
+        doc_id = self.ids[self.doc]
+        todo = np.flatnonzero(self.open[self.entry] & (self.least[self.entry] == doc_id))
+        doc, lo = self.doc[todo], self.lo[todo]
+        n = np.minimum(self.at[todo], self.hi[todo] - self.w.length) - lo + 1
+        doc, place = np.repeat(doc, n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        if not len(doc):
+            return doc, place, np.zeros(0, np.uint64)
+        both = np.unique((doc.astype(np.int64) << 40) | place)
+        doc, place = both >> 40, both & ((1 << 40) - 1)
+        wanted = set(doc.tolist())
+        hashes = np.zeros(len(doc), np.uint64)
+        for s in _slices(self.w, [t if i in wanted else t[:0] for i, t in enumerate(self.docs)]):
+            for j, i in enumerate(s.doc):
+                a = np.searchsorted(both, (int(i) << 40) | int(s.first[j] - s.origin[j]))
+                b = np.searchsorted(both, (int(i) << 40) | int(s.last[j] - s.origin[j]))
+                if a < b:
+                    hashes[a:b] = s.windows(place[a:b] + s.origin[j])
+        return doc, place, hashes
+
+    def window_entries(self, buckets: int):
+        self.w_doc, self.w_place, h = self.open_windows()
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        fresh = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
+        begin = np.flatnonzero(fresh)
+        smallest = np.minimum.reduceat(self.ids[self.w_doc[order]], begin) if len(begin) else np.zeros(0, np.int64)
+        bucket = (s[begin] % np.uint64(buckets)).astype(np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        rank = np.empty_like(by_bucket)
+        rank[by_bucket] = np.arange(len(by_bucket))
+        self.w_entry = np.empty(len(h), np.int64)
+        self.w_entry[order] = rank[np.cumsum(fresh) - 1] if len(h) else 0
+        return s[begin][by_bucket], smallest[by_bucket], np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+
+    def removed(self, answers: pa.Table, buckets: int) -> list[np.ndarray]:
+        """A mask of the removed tokens of each document."""
+        self.settle(answers)
+        _, least, begin = self.window_entries(buckets)
+        least = least.copy()
+        for r in answers.to_pylist():
+            if r["kind"] == 2:
+                least[np.frombuffer(r["place"], "<u4") + begin[r["bucket"]]] = unpack_ids(r["least"])
+        size = np.array([len(t) + 1 for t in self.docs])
+        origin = np.concatenate(([0], np.cumsum(size)))
+        depth = np.zeros(origin[-1] + 1, np.int32)
+        gone = self.least[self.entry] < self.ids[self.doc]
+        w_gone = least[self.w_entry] < self.ids[self.w_doc] if len(self.w_doc) else np.zeros(0, bool)
+        for doc, lo, hi in ((self.doc[gone], self.lo[gone], self.hi[gone]), (self.w_doc[w_gone], self.w_place[w_gone], self.w_place[w_gone] + self.w.length)):
+            np.add.at(depth, origin[doc] + lo, 1)
+            np.add.at(depth, origin[doc] + hi, -1)
+        mask = np.cumsum(depth) > 0
+        return [mask[a : a + len(t)] for a, t in zip(origin, self.docs, strict=False)]
+
+
+def _meet(table: pa.Table, kind: int):
+    """Answers for the entries of one bucket: where the smallest id is smaller elsewhere, or the anchor has several contexts."""
+    rows = table.to_pylist()
+    g = [np.frombuffer(r["h"], "<u8") if kind == 2 else unpack6(r["h"]) for r in rows]
+    source = np.repeat(np.arange(len(rows)), [len(x) for x in g])
+    place = np.concatenate([np.arange(len(x), dtype=np.uint32) for x in g])
+    g, ids = np.concatenate(g), np.concatenate([unpack_ids(r["ids"]) for r in rows])
+    c = np.zeros_like(g) if kind == 2 else np.concatenate([unpack6(r["c"]) for r in rows])
+    order = np.argsort(g)
+    s = g[order]
+    same = s[1:] == s[:-1]
+    often = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+    if not len(often):
+        return
+    often = often[np.lexsort((ids[often], c[often], g[often]))]
+    s, t, i = g[often], c[often], ids[often]
+    new_g = np.concatenate(([True], s[1:] != s[:-1]))
+    new_c = new_g | np.concatenate(([True], t[1:] != t[:-1]))
+    least = i[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
+    contexts = np.add.reduceat(new_c, np.flatnonzero(new_g))[np.cumsum(new_g) - 1]
+    say = (least < i) | (contexts > 1)
+    often, least, several = often[say], least[say], (contexts > 1)[say]
+    back = np.argsort(source[often], kind="stable")
+    often, least, several = often[back], least[back], several[back]
+    cut = np.searchsorted(source[often], np.arange(len(rows) + 1))
+    for k, r in enumerate(rows):
+        a, b = cut[k], cut[k + 1]
+        if a < b:
+            yield {"batch": r["batch"], "kind": kind, "bucket": r["bucket"], "place": place[often[a:b]].astype("<u4").tobytes(), "least": pack_ids(least[a:b]), "open": several[a:b].astype(np.uint8).tobytes()}
+
+
+_ASK = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("h", pa.binary()), ("c", pa.binary()), ("ids", pa.binary())])
+_ANSWER = pa.schema([("batch", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("place", pa.binary()), ("least", pa.binary()), ("open", pa.binary())])
+_ASK_SQL = "bucket int, batch int, h binary, c binary, ids binary"
+_ANSWER_SQL = "batch int, kind int, bucket int, place binary, least binary, open binary"
+
+
+def without_repeats(docs: DataFrame, w: Windows, finish: Callable, out: pa.Schema, out_sql: str, id_col: str, text_col: str, batch_bytes: int = 6 << 20) -> DataFrame:
+    """finish(ids, texts, tokens, masks) makes the result's columns from each batch."""
+    bytes_in = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    batches = max(1, -(-bytes_in // batch_bytes))
+    tokens = bytes_in // (6 if w.words else 1)
+    buckets = max(1, -(-tokens // ((w.length - w.run + 2) // 2 * 250_000)))
+    key = F.coalesce(F.xxhash64(F.col(id_col).cast("long")), F.xxhash64(text_col))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("data"), F.pmod(key, F.lit(batches)).cast("int").alias("batch"))
+
+    def ask(table: pa.Table) -> pa.Table:
+        b, batch = _Batch(w, table, buckets), table.column("batch")[0].as_py()
+        rows = [{"bucket": k, "batch": batch, "h": pack6(b.entry_g[i:j]), "c": pack6(b.entry_c[i:j]), "ids": pack_ids(b.entry_id[i:j])} for k, (i, j) in enumerate(zip(b.begin[:-1], b.begin[1:], strict=True)) if i < j]
+        return pa.Table.from_pylist(rows, _ASK)
+
+    def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows or not answers.num_rows:
+            return pa.Table.from_pylist([], _ASK)
+        b, batch = _Batch(w, table, buckets), table.column("batch")[0].as_py()
+        b.settle(answers)
+        h, ids, begin = b.window_entries(buckets)
+        rows = [{"bucket": k, "batch": batch, "h": h[i:j].astype("<u8").tobytes(), "c": b"", "ids": pack_ids(ids[i:j])} for k, (i, j) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if i < j]
+        return pa.Table.from_pylist(rows, _ASK)
+
+    def meet(kind: int):
+        return lambda table: pa.Table.from_pylist(list(_meet(table, kind)), _ANSWER)
+
+    def end(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.Table.from_pylist([], out)
+        b = _Batch(w, table, buckets)
+        return pa.Table.from_pydict(finish(b.ids_or_null, b.texts, b.docs, b.removed(answers, buckets)), out)
+
+    dealt = texts.groupBy("batch")
+    first = dealt.applyInArrow(ask, _ASK_SQL).groupBy("bucket").applyInArrow(meet(1), _ANSWER_SQL)
+    second = dealt.cogroup(first.groupBy("batch")).applyInArrow(ask_windows, _ASK_SQL).groupBy("bucket").applyInArrow(meet(2), _ANSWER_SQL)
+    return dealt.cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(end, out_sql)
