@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.packaging import shipped
 
-from . import bpe, debruijn, langid, minhash, mixing, quality, suffix_dedup
+from . import bpe, debruijn, knn, langid, minhash, mixing, pii, quality, suffix_dedup, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +40,20 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "source", "block", "slot", "place")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings").where(knn.usable(F.col("embedding"))).select("vec_id", knn.scaled(F.col("embedding")).alias("v"))
+    return knn.top_k(table, table.where("vec_id % 50 = 0"), k=5)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     found = bpe.decode(bpe.encode(docs, vocabulary_path()), vocabulary_path())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -67,14 +76,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), found_col="found")
+    return found.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))), ",").alias("kinds"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mixing": op3_source_mixing,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op4_exact_top_k": knn.ORACLE_SQL}
