@@ -1 +1,34 @@
-""""""
+"""Structured Streaming operators."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def tumbling(events: DataFrame, at: str, width: str, lateness: str, keys: list[str], value: str) -> DataFrame:
+    """Counts and sums by window and keys; rows later than the watermark are dropped. Works on streams and tables."""
+    return events.withWatermark(at, lateness).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("starts"), *keys, "n", "total")
+
+
+def deduplicated(findings: DataFrame, at: str, keys: list[str], lateness: str) -> DataFrame:
+    """The first row of each key within the watermark."""
+    return findings.withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys)
+
+
+def rolling_last(events: DataFrame, key: str, key_type: str, at: str, value: str, size: int) -> DataFrame:
+    """After each micro-batch, the number and mean of the last `size` values of each key that got rows."""
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        for f in frames:
+            held += f.sort_values(at)[value].astype(float).tolist()
+        held = held[-size:]
+        state.update((held,))
+        yield pd.DataFrame({key: [k[0]], "n": [len(held)], "mean": [sum(held) / len(held)]})
+
+    return events.select(key, at, value).groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, n long, mean double", "held array<double>", "update", GroupStateTimeout.NoTimeout)
