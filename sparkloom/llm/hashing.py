@@ -106,15 +106,15 @@ def words_of(texts: list[bytes], limit: int = 1 << 18) -> list[np.ndarray]:
     return out
 
 
-def pack6(x: np.ndarray) -> bytes:
-    """The low 48 bits of each value."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def pack(x: np.ndarray, size: int) -> bytes:
+    """The low `size` bytes of each value."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def unpack6(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def unpack(data: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, size)
     out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
+    out[:, :size] = raw
     return out.view("<u8").ravel()
 
 

@@ -14,11 +14,12 @@ one for every (length - run + 2) / 2 tokens:
    all documents costs an entry for each batch, not for each document.
 2. Entries of an anchor meet. Anchors seen once end here. A context that a smaller
    document has too settles all its windows at once.
-3. Only where one anchor has several contexts (where copies begin, end or differ),
-   the batch that holds the smallest document of a context sends its windows.
+3. Only where contexts of one anchor agree on the half of a window to one side but
+   not on all (where copies begin, end or differ), the batch that holds the smallest
+   document of a context sends its windows.
 4. Windows meet; the smallest id of each goes back, and each batch marks its tokens.
 
-Anchors and contexts compare by 48 bits each, together 96, and windows by 64 bits.
+Anchors and contexts compare by 48 and 56 bits, together 104, and windows by 64 bits.
 """
 
 from __future__ import annotations
@@ -31,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import A, BYTE, join, mix, pack6, pack_ids, unpack6, unpack_ids, words_of
+from .hashing import A, BYTE, join, mix, pack, pack_ids, unpack, unpack_ids, words_of
 
 SLICE = 1 << 17
 _PLACE = np.uint64((1 << 24) - 1)
-_48 = np.uint64((1 << 48) - 1)
+_48, _8, _40 = np.uint64((1 << 48) - 1), np.uint64(8), np.uint64((1 << 40) - 1)
+_SIDE = np.uint64(255)
 
 
 @dataclass(frozen=True)
@@ -101,8 +103,14 @@ class _Slice:
         hi = np.minimum(at + w.length, self.end[part])
         p, h, size = w.power, self.h[w.power], hi - lo
         context = join(join(h[lo], h[lo + np.maximum(0, (size - p) // 2)]), h[np.maximum(lo, hi - p)])
-        context = mix(context ^ ((at - lo).astype(np.uint64) * A + size.astype(np.uint64)))
-        return self.doc[part], at - self.origin[part], lo - self.origin[part], hi - self.origin[part], run[at] & _48, context & _48
+        context = mix(context ^ ((at - lo).astype(np.uint64) * A + size.astype(np.uint64))) & _40
+        half = count // 2
+        q = 1 << (half.bit_length() - 1)
+        left = join(self.h[q][np.maximum(0, at - half)], self.h[q][np.maximum(0, at - q)]) & _SIDE
+        right = join(self.h[q][at + w.run], self.h[q][at + w.run + half - q]) & _SIDE
+        left[at - lo < half] = right[hi - at - w.run < half] = 0
+        context = (((context << _8) | left) << _8) | right
+        return self.doc[part], at - self.origin[part], lo - self.origin[part], hi - self.origin[part], run[at] & _48, context
 
     def windows(self, place: np.ndarray) -> np.ndarray:
         return self._run(self.w.length)[place]
@@ -155,21 +163,27 @@ class _Batch:
         self.begin = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
 
     def settle(self, answers: pa.Table) -> None:
-        """least: the smallest id of each entry's context anywhere. open: whether its anchor has other contexts."""
-        self.least, self.open = self.entry_id.copy(), np.zeros(len(self.entry_id), bool)
+        """least: the smallest id of each entry's context anywhere. open: on which sides other contexts of its anchor agree with it."""
+        self.least, self.open = self.entry_id.copy(), np.zeros(len(self.entry_id), np.uint8)
         kinds = answers.column("kind").to_pylist()
         rows = [r for r, k in zip(answers.to_pylist() if 1 in kinds else [], kinds, strict=False) if k == 1]
         for r in rows:
             at = np.frombuffer(r["place"], "<u4") + self.begin[r["bucket"]]
             self.least[at] = unpack_ids(r["least"])
-            self.open[at] = np.frombuffer(r["open"], np.uint8).astype(bool)
+            self.open[at] = np.frombuffer(r["open"], np.uint8)
 
     def open_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, place and hash of the windows that their contexts don't settle."""
         doc_id = self.ids[self.doc]
-        todo = np.flatnonzero(self.open[self.entry] & (self.least[self.entry] == doc_id))
-        doc, lo = self.doc[todo], self.lo[todo]
-        n = np.minimum(self.at[todo], self.hi[todo] - self.w.length) - lo + 1
+        todo = np.flatnonzero((self.open[self.entry] > 0) & (self.least[self.entry] == doc_id))
+        side, at = self.open[self.entry[todo]], self.at[todo]
+        spare, half = self.w.length - self.w.run, (self.w.length - self.w.run + 1) // 2
+        # a window that goes far to the left of its anchor can only be equal to one that agrees there
+        left, right = side & 1 > 0, side & 2 > 0
+        lo = np.maximum(self.lo[todo], np.where(left, at - spare, at - (spare - half)))
+        hi = np.minimum(np.minimum(at, self.hi[todo] - self.w.length), np.where(right, at, at - half))
+        some = hi >= lo
+        doc, lo, n = self.doc[todo][some], lo[some], (hi - lo + 1)[some]
         doc, place = np.repeat(doc, n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         if not len(doc):
             return doc, place, np.zeros(0, np.uint64)
@@ -220,14 +234,28 @@ class _Batch:
         return [mask[a : a + len(t)] for a, t in zip(origin, self.docs, strict=False)]
 
 
+def _open(g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of these distinct pairs: 1 if another shares their anchor and what stands to its left, 2 to its right, 3 for both.
+
+    A window around an anchor reaches at least half its other tokens to one side.
+    """
+    found = np.zeros(len(g), np.uint8)
+    for bit, side in ((1, (c >> _8) & _SIDE), (2, c & _SIDE)):
+        key = join(g, side)
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        found[np.concatenate((order[1:][same], order[:-1][same]))] |= np.uint8(bit)
+    return found
+
+
 def _meet(table: pa.Table, kind: int):
-    """Answers for the entries of one bucket: where the smallest id is smaller elsewhere, or the anchor has several contexts."""
+    """Answers for the entries of one bucket: where the smallest id is smaller elsewhere, or other contexts agree on one side."""
     rows = table.to_pylist()
-    g = [np.frombuffer(r["h"], "<u8") if kind == 2 else unpack6(r["h"]) for r in rows]
+    g = [np.frombuffer(r["h"], "<u8") if kind == 2 else unpack(r["h"], 6) for r in rows]
     source = np.repeat(np.arange(len(rows)), [len(x) for x in g])
     place = np.concatenate([np.arange(len(x), dtype=np.uint32) for x in g])
     g, ids = np.concatenate(g), np.concatenate([unpack_ids(r["ids"]) for r in rows])
-    c = np.zeros_like(g) if kind == 2 else np.concatenate([unpack6(r["c"]) for r in rows])
+    c = np.zeros_like(g) if kind == 2 else np.concatenate([unpack(r["c"], 7) for r in rows])
     order = np.argsort(g)
     s = g[order]
     same = s[1:] == s[:-1]
@@ -239,16 +267,16 @@ def _meet(table: pa.Table, kind: int):
     new_g = np.concatenate(([True], s[1:] != s[:-1]))
     new_c = new_g | np.concatenate(([True], t[1:] != t[:-1]))
     least = i[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
-    contexts = np.add.reduceat(new_c, np.flatnonzero(new_g))[np.cumsum(new_g) - 1]
-    say = (least < i) | (contexts > 1)
-    often, least, several = often[say], least[say], (contexts > 1)[say]
+    several = _open(s[new_c], t[new_c])[np.cumsum(new_c) - 1] if kind == 1 else np.zeros(len(s), np.uint8)
+    say = (least < i) | (several > 0)
+    often, least, several = often[say], least[say], several[say]
     back = np.argsort(source[often], kind="stable")
     often, least, several = often[back], least[back], several[back]
     cut = np.searchsorted(source[often], np.arange(len(rows) + 1))
     for k, r in enumerate(rows):
         a, b = cut[k], cut[k + 1]
         if a < b:
-            yield {"batch": r["batch"], "kind": kind, "bucket": r["bucket"], "place": place[often[a:b]].astype("<u4").tobytes(), "least": pack_ids(least[a:b]), "open": several[a:b].astype(np.uint8).tobytes()}
+            yield {"batch": r["batch"], "kind": kind, "bucket": r["bucket"], "place": place[often[a:b]].astype("<u4").tobytes(), "least": pack_ids(least[a:b]), "open": several[a:b].tobytes()}
 
 
 _ASK = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("h", pa.binary()), ("c", pa.binary()), ("ids", pa.binary())])
@@ -268,7 +296,7 @@ def without_repeats(docs: DataFrame, w: Windows, finish: Callable, out: pa.Schem
 
     def ask(table: pa.Table) -> pa.Table:
         b, batch = _Batch(w, table, buckets), table.column("batch")[0].as_py()
-        rows = [{"bucket": k, "batch": batch, "h": pack6(b.entry_g[i:j]), "c": pack6(b.entry_c[i:j]), "ids": pack_ids(b.entry_id[i:j])} for k, (i, j) in enumerate(zip(b.begin[:-1], b.begin[1:], strict=True)) if i < j]
+        rows = [{"bucket": k, "batch": batch, "h": pack(b.entry_g[i:j], 6), "c": pack(b.entry_c[i:j], 7), "ids": pack_ids(b.entry_id[i:j])} for k, (i, j) in enumerate(zip(b.begin[:-1], b.begin[1:], strict=True)) if i < j]
         return pa.Table.from_pylist(rows, _ASK)
 
     def ask_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
