@@ -9,12 +9,15 @@ be looked at (prefix), nodes with that many pairs of their own drop out, and the
 frequent pairs are seldom opened (skip). Nodes that meet there count how many of all
 their minima agree, and pairs above a threshold are confirmed on the full sets.
 
-Within a posting, nodes already joined by pairs that agree almost everywhere give no
-more pairs: a family of m copies makes about m pairs, not m squared. Those pairs are
-confirmed like the others, and if one fails, the pruned pairs across components are
-made after all. Postings of more than BLOCK nodes are dealt out as pairs of blocks,
-so none has to fit in one task. The thresholds lie five standard deviations below
-what sets of the wanted similarity are expected to share.
+Of the agreeing pairs of one posting only a forest goes on, which joins all nodes
+that they join: m nodes give less than m pairs. Its trees are the clusters in which
+all links lie. Each node's full set is sent to its cluster once, where links are
+confirmed by counting shared shingles over the cluster's inverted lists, and again
+only a forest of links comes out. No pair of nodes is ever a row of its own.
+
+Postings of more than BLOCK nodes and clusters of more than BLOCK_SHINGLES shingles
+are dealt out as pairs of blocks, so none has to fit in one task. The thresholds lie
+five standard deviations below what sets of the wanted similarity share on average.
 
 Null and empty texts have an empty set and are linked with nothing, as are rows with
 a null id (component_id null, kept). Texts with fewer words than a shingle are one
@@ -34,7 +37,7 @@ from .components import components
 from .hashing import A, B, C, join, mix, words_of
 from .storage import kept
 
-POSTED, COUNTED, BLOCK = 64, 256, 4096
+POSTED, COUNTED, BLOCK, BLOCK_SHINGLES = 64, 256, 4096, 1_000_000
 _MULTIPLIER = (mix(np.arange(1, COUNTED + 1, dtype=np.uint64) * B) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _OFFSET = (mix(np.arange(1, COUNTED + 1, dtype=np.uint64) * C) >> np.uint64(32)).astype(np.uint32)
 
@@ -85,9 +88,7 @@ def _sign(size: int):
                 rows = []
                 for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), size), strict=True):
                     m = signature(s)
-                    with np.errstate(over="ignore"):
-                        k1, k2 = (int(np.add.reduce(mix(s ^ x), dtype=np.uint64).astype(np.int64)) for x in (A, C))
-                    rows.append((i, len(s), k1, k2, m[:POSTED].tobytes(), (m & 255).astype(np.uint8).tobytes()))
+                    rows.append((i, len(s), _key(s, A), _key(s, C), m[:POSTED].tobytes(), (m & 255).astype(np.uint8).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SIGNED, strict=True)], schema=_SIGNED)
 
     return run
@@ -104,147 +105,159 @@ def _post(batches):
             yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(part.column(0).to_numpy(), POSTED))], ["token", "node"])
 
 
-def _pairs_of(nodes, block, label, counted, cross: bool, least: int, sure: int | None):
-    """Pairs of one posting with enough equal minima. cross: only pairs from different blocks. sure: from so many, nodes count as joined."""
-    if len(nodes) < 2:
-        return
-    order = np.lexsort((block, nodes))
-    nodes, block, label, counted = nodes[order], block[order], label[order], counted[order]
-    root = label.copy()
-    some = []
+def _forest(nodes: np.ndarray, counted: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Pairs that join all nodes of one posting that pairs with enough equal minima join."""
+    root, pairs = np.arange(len(nodes)), []
     for x in range(len(nodes) - 1):
-        n = (counted[x + 1 :] == counted[x]).sum(axis=1)
-        near = np.flatnonzero(n >= least) + x + 1
-        if cross:
-            near = near[block[near] != block[x]]
-        near = near[nodes[near] != nodes[x]]
+        other = np.flatnonzero(root[x + 1 :] != root[x]) + x + 1
+        near = other[(counted[other] == counted[x]).sum(axis=1) >= least]
         for y in near:
-            if root[y] == root[x]:
-                continue
-            agreed = int(n[y - x - 1])
-            if sure is not None and agreed >= sure:
+            if root[y] != root[x]:
                 root[root == root[y]] = root[x]
-                yield nodes[x], nodes[y], True
-            else:
-                some.append((x, y))
-    for x, y in some:
-        if root[x] != root[y]:
-            yield nodes[x], nodes[y], False
+                pairs.append((nodes[x], nodes[y]))
+    return pairs
+
+
+def _links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs that join all nodes of one cluster that links join, by shared shingles of the full sets."""
+    size = np.array([len(s) for s in sets])
+    begin = np.concatenate(([0], np.cumsum(size)))
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(nodes)), size)
+    order = np.argsort(shingle, kind="stable")
+    lists, ends = owner[order], np.searchsorted(shingle[order], np.arange(shingle.max() + 2))
+    root, pairs = np.arange(len(nodes)), []
+    for x in range(len(nodes) - 1):
+        if (root == root[0]).all():
+            break
+        own = shingle[begin[x] : begin[x + 1]]
+        n = ends[own + 1] - ends[own]
+        at = np.repeat(ends[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(lists[at], minlength=len(nodes))
+        linked = np.flatnonzero(100 * shared >= percent * (size[x] + size - shared))
+        for y in linked[linked > x]:
+            if root[y] != root[x]:
+                root[root == root[y]] = root[x]
+                pairs.append((nodes[x], nodes[y]))
+    return pairs
+
 
+_PAIR = ["a", "b"]
+
+
+def _by_group(keys: tuple[str, ...], pairs_of):
+    """Runs pairs_of over each run of rows with equal keys, in partitions sorted by them; one group is held at a time."""
 
-def _meet(least: int, sure: int | None):
     def run(batches):
         held: list[pa.RecordBatch] = []
 
-        def rows_of(parts):
-            t = pa.Table.from_batches(parts)
-            key = np.stack([t.column(k).to_numpy() for k in ("token", "i", "j")])
-            cut = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True])))
-            return t, key, cut
-
-        def pairs(t, key, cut):
-            found = []
-            nodes, block, label = (t.column(k).to_numpy() for k in ("node", "block", "label"))
-            counted = np.frombuffer(b"".join(t.column("counted").to_pylist()), np.uint8).reshape(-1, COUNTED)
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if b - a > 1:
-                    found += _pairs_of(nodes[a:b], block[a:b], label[a:b], counted[a:b], key[1, a] != key[2, a], least, sure)
+        def solved(t: pa.Table, cut: np.ndarray):
+            found = [p for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 1 for p in pairs_of(t.slice(a, b - a))]
             found = list(dict.fromkeys(found))
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "sure"])
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], _PAIR)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            t, key, cut = rows_of(held)
-            last = int(cut[-2])
-            if last:
-                yield pairs(t.slice(0, last), key[:, :last], cut[:-1])
-                held = t.slice(last).combine_chunks().to_batches()
+            ends = [tuple(part.column(k)[i].as_py() for k in keys) for part, i in ((held[0], 0), (batch, batch.num_rows - 1))]
+            if ends[0] == ends[1]:
+                continue  # the group goes on
+            t = pa.Table.from_batches(held)
+            key = np.stack([t.column(k).to_numpy() for k in keys])
+            cut = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
+            yield solved(t, cut)
+            held = t.slice(int(cut[-1])).combine_chunks().to_batches()
         if held:
-            yield pairs(*rows_of(held))
+            t = pa.Table.from_batches(held)
+            yield solved(t, np.array([0, t.num_rows]))
 
     return run
 
 
-def _partners(size: int):
-    """Each node's set, once for each of its pairs."""
+def _posting(least: int):
+    def pairs(t: pa.Table):
+        nodes = t.column("node").to_numpy()
+        first = np.unique(nodes, return_index=True)[1]
+        counted = np.frombuffer(b"".join(t.column("counted").to_pylist()), np.uint8).reshape(-1, COUNTED)
+        return _forest(nodes[first], counted[first], least)
+
+    return pairs
+
+
+def _cluster(percent: int):
+    def pairs(t: pa.Table):
+        nodes = t.column("node").to_numpy()
+        first = np.unique(nodes, return_index=True)[1]
+        sets = t.column("set").to_pylist()
+        return _links(nodes[first], [np.frombuffer(sets[i], np.uint64) for i in first], percent)
+
+    return pairs
+
+
+def _sets(size: int):
+    """The full set of each node's text, if the text is the node's."""
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                for k, s in enumerate(shingle_sets(part.column(1).to_pylist(), size)):
-                    with np.errstate(over="ignore"):
-                        if int(np.add.reduce(mix(s ^ A), dtype=np.uint64).astype(np.int64)) != part.column(2)[k].as_py():
-                            continue
-                    pairs = part.column(3)[k].as_py()
-                    step = max(1, 1_000_000 // (len(s) + 1))
-                    for p in range(0, len(pairs), step):
-                        some = pairs[p : p + step]
-                        values = pa.array(np.tile(s.view(np.int64), len(some)))
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(s)), values)
-                        yield pa.RecordBatch.from_arrays([pa.array([x["a"] for x in some], pa.int64()), pa.array([x["b"] for x in some], pa.int64()), lists], ["a", "b", "set"])
+                rows = []
+                for node, k1, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1).to_pylist(), size), strict=True):
+                    if _key(s, A) == k1:
+                        rows.append((node, s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "set"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b, sure) with linked: whether 100 * intersection >= percent * union of the full sets."""
-    pair = F.struct("a", "b")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), pair.alias("pair")), F.struct(F.col("b").alias("node"), pair.alias("pair")))).alias("e")).select("e.*")
-    wanted = ends.groupBy("node").agg(F.collect_list("pair").alias("pairs")).join(nodes.select("node", "k1"), "node")
-    rows = texts.join(wanted, texts["doc_id"] == wanted["node"]).dropDuplicates(["node", "text"]).select("node", "text", "k1", "pairs")
-    sets = rows.mapInArrow(_partners(size), "a long, b long, set array<bigint>")
-    both = sets.groupBy("a", "b").agg(F.collect_list("set").alias("s"))
-    shared = F.size(F.array_intersect(F.get("s", F.lit(0)), F.get("s", F.lit(1))))
-    union = F.size(F.get("s", F.lit(0))) + F.size(F.get("s", F.lit(1))) - F.col("shared")
-    both = both.withColumn("shared", shared).select("a", "b", (100 * F.col("shared") >= percent * union).alias("linked"))
-    return pairs.join(both, ["a", "b"])
+def _key(s: np.ndarray, x: np.uint64) -> int:
+    with np.errstate(over="ignore"):
+        return int(np.add.reduce(mix(s ^ x), dtype=np.uint64).astype(np.int64))
+
+
+def _in_blocks(rows: DataFrame, blocks, keys: list[str]) -> DataFrame:
+    """Each row once for each pair of blocks that its own block is in."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    return dealt.select(*keys, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node")
+
+
+def _grouped(rows: DataFrame, keys: list[str], pairs) -> DataFrame:
+    keys = [*keys, "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_by_group(tuple(keys), pairs), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and n_links (links of the row's set to other sets, as far as they were made) of each row."""
+    """doc_id, n_shingles, component_id (the smallest id reachable) and kept (whether it is the row's own) of each row."""
     similarity = percent / 100
     matches, least = threshold(POSTED, similarity), threshold(COUNTED, similarity)
-    sure = min(COUNTED, least + (COUNTED - least) * 3 // 4)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = kept(texts.mapInArrow(_sign(size), "doc_id long, n long, k1 long, k2 long, posted binary, counted binary"))
     real = signed.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("posted").alias("posted"), F.first("counted").alias("counted"))
+    nodes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("posted").alias("posted"), F.first("counted").alias("counted"), F.first("n").alias("n"))
 
     posted = nodes.select("node", "posted").mapInArrow(_post, "token long, node long")
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     frequent = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("pairs"))
     prefix = F.slice("pairs", 1, F.greatest(F.lit(0), F.size("pairs") - matches + 1))
     opened = frequent.select("node", F.explode(prefix).alias("p")).select("node", "p.df", "p.token")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)).cast("int")
-    opened = opened.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    opened = opened.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
-    postings = opened.join(nodes.select("node", "counted"), "node")
-
-    def meet(labelled: DataFrame, sure_from: int | None) -> DataFrame:
-        rows = labelled.select("token", "i", "j", "node", "block", "label", "counted")
-        met = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_meet(least, sure_from), "a long, b long, sure boolean")
-        return met.groupBy("a", "b").agg(F.max("sure").alias("sure"))
-
-    pairs = kept(meet(postings.withColumn("label", F.col("node")), sure))
-    checked = kept(confirmed(pairs, texts, nodes, size, percent))
-    links = checked.where("linked").select("a", "b")
-    if not checked.where("sure AND NOT linked").isEmpty():
-        known = components(links)
-        labelled = postings.join(known, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        more = kept(meet(labelled, None).join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        links = links.unionByName(kept(confirmed(more, texts, nodes, size, percent)).where("linked").select("a", "b"))
+    opened = _in_blocks(opened, F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)), ["token"])
+    near = _grouped(opened.join(nodes.select("node", "counted"), "node"), ["token"], _posting(least))
+
+    members = kept(components(near).join(nodes.select("node", "k1", "n"), "node"))
+    large = members.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    owners = members.select(F.col("node").alias("id"), "k1")
+    sets = texts.join(owners, texts["doc_id"] == owners["id"]).select("id", "text", "k1").mapInArrow(_sets(size), "node long, set binary")
+    dealt = _in_blocks(members.join(large, "component"), F.col("blocks"), ["component"])
+    links = _grouped(dealt.join(sets, "node"), ["component"], _cluster(percent))
 
     reps = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     owned = signed.select("doc_id", "n", "k1", "k2").join(reps, ["k1", "k2"], "left").withColumn("node", F.when(F.col("n") > 0, F.col("node")))
     several = owned.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a < b")
-    joined = components(links.unionByName(several.select("a", F.explode("all").alias("b"))))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    found = owned.join(joined, "node", "left").join(degree, "node", "left")
+    joined = components(kept(links).unionByName(several.select("a", F.explode("all").alias("b"))))
+    found = owned.join(joined, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
