@@ -9,8 +9,8 @@ is sent to those only; each group is solved on its own, and a query's local best
 meet. A group with more than `block_rows` vectors is dealt out in blocks, so that a
 crowded cell is no hot task.
 
-Vectors that are null, or hold null or non-finite components, take no part, nor do
-rows without an id. Rows that share an id count as one, the least vector. Vectors of
+Vectors that are null or empty, or hold null or non-finite components, take no part,
+nor do rows without an id. Rows that share an id count as one, the least vector. Vectors of
 different lengths are never compared. Ties go to the smaller id.
 """
 
@@ -54,8 +54,8 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 64, block_rows: int = 20_000) -> DataFrame:
     """query_id, rank (from 1), vec_id and score. data and queries: vec_id long, v array<long>; a query never finds its own id."""
-    rows = data.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = queries.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = data.where("vec_id IS NOT NULL AND size(v) > 0").groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = queries.where("vec_id IS NOT NULL AND size(v) > 0").groupBy("vec_id").agg(F.min("v").alias("v"))
     chosen = [np.array(r["v"], np.int64) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
 
     def cells(batches):
