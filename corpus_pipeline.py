@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import minhash, mixing, pii, quality
 from sparkloom.llm.queries import bpe_digests
+from sparkloom.llm.storage import kept
 from sparkloom.packaging import shipped
 
 
@@ -53,6 +54,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = kept(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

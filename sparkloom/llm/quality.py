@@ -69,7 +69,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     for s in SYMBOLS:
         symbols = F.replace(symbols, F.lit(s), F.lit(""))
     read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    read = read.select("doc_id", (F.length("t") - F.length(symbols)).cast("long").alias("n_symbols"), F.filter(F.split("t", _SPACE), lambda w: w != "").alias("words"), F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(F.lit(" \t\n\x0b\x0c\r"), x)) > 0).alias("lines"))
+    read = read.select("doc_id", (F.length("t") - F.length(symbols)).cast("long").alias("n_symbols"), F.filter(F.split("t", _SPACE), lambda w: w != "").alias("words"), F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0).alias("lines"))
     words = F.col("words")
     counted = read.select(
         "doc_id",
@@ -100,7 +100,9 @@ def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "do
     """The rows that pass, with all their columns; judged in place, without a join."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return judge(packed, rules, id_col="row", text_col="text").where("kept").select("doc_id.*")
+    judged = judge(packed, rules, id_col="row", text_col="text")
+    # a plain filter would be pushed down with all the counts' expressions in it, again and again
+    return judged.select(F.explode(F.expr("IF(kept, ARRAY(doc_id), SLICE(ARRAY(doc_id), 1, 0))")).alias("row")).select("row.*")
 
 
 ORACLE_SQL = f"""
