@@ -4,7 +4,8 @@ fit() counts the words of labelled documents, at most about `rows_per_language`
 each language (a documented bound: all documents are predicted, a bounded sample is
 learned from), and keeps the `max_words` most frequent words and, for each order
 from `longest` down to 1, the `max_runs` most frequent character runs. The model is
-therefore of bounded size, whatever the corpus, and is broadcast.
+therefore of bounded size, whatever the corpus, and is broadcast. Languages are taken
+to be few; the model has a number for each.
 
 A known word scores its log frequency in each language, relative to the mean over
 languages. An unseen word scores the mean over its known runs of the greatest length
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import kept
+
 _WORD = re.compile(r"[^\W\d_]+")
 _COUNTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 _PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -67,13 +70,13 @@ class Model:
         return np.zeros(len(self.languages))
 
 
-def fit(labelled: DataFrame, rows_per_language: int = 5000, max_words: int = 30_000, max_runs: int = 10_000, longest: int = 5, backoff: float = 0.7, lang_col: str = "lang", text_col: str = "text") -> Model:
+def fit(labelled: DataFrame, rows_per_language: int = 2500, max_words: int = 30_000, max_runs: int = 10_000, longest: int = 5, backoff: float = 0.7, lang_col: str = "lang", text_col: str = "text") -> Model:
     """The model of the languages of `labelled`; it is of bounded size and is made on the driver from its counts."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    size = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    share = F.lit(float(rows_per_language)) / F.col("rows")
-    sample = rows.join(size, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
-    counted = sample.mapInArrow(_count, _COUNTED).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = F.try_element_at(F.create_map(*[x for k, n in sorted(size.items()) for x in (F.lit(k), F.lit(rows_per_language / n))]), F.col("lang")) if size else F.lit(0.0)
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    counted = kept(sample.mapInArrow(_count, _COUNTED).groupBy("lang", "word").agg(F.sum("n").alias("n")))
     by_word = counted.groupBy("word").agg(F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "n")))).alias("by"))
     top = by_word.orderBy(F.desc("n"), "word").limit(max_words).collect()
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
