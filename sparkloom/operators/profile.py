@@ -39,7 +39,7 @@ def value_type(text: Column) -> Column:
     t = F.trim(text)
     return (
         F.when(text.isNull() | (t == "") | F.lower(t).isin(*NA_TOKENS), F.lit("empty"))
-        .when(F.lower(t).isin("true", "false", "yes", "no", "t", "f", "y", "n"), "boolean")
+        .when(F.lower(t).isin("true", "false", "yes", "no"), "boolean")
         .when(t.rlike(r"^[+-]?(\d+|\d{1,3}(,\d{3})+)$"), "integer")
         .when(t.rlike(r"^[+-]?(\d+|\d{1,3}(,\d{3})+)?\.?\d+([eE][+-]?\d+)?$"), "float")
         .when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2})?)?"), "datetime")
