@@ -42,10 +42,7 @@ def cases():
 
 
 @pytest.mark.parametrize(("length", "words", "remove"), [(50, False, remove_repeated_bytes), (13, True, remove_repeated_words)])
-@pytest.mark.parametrize("small", [False, True])
-def test_matches_brute_force(spark, monkeypatch, length, words, remove, small):
-    if small:  # many slices, where tasks run in this process's code
-        monkeypatch.setattr(repeats, "SLICE", 500)
+def test_matches_brute_force(spark, length, words, remove):
     rows = cases()
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, n_removed string")
     got = remove(df).collect()
@@ -68,3 +65,15 @@ def test_batches_meet(spark, words):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = repeats.without_repeats(df, w, module._finish, module._OUT, names, "doc_id", "text", batch_bytes=3000).collect()
     assert sorted(((r[0], r[1], r[2], bytes(r["kept"])) for r in got), key=str) == brute(rows, w.length, words)
+
+
+@pytest.mark.parametrize("w", [repeats.Windows(50, 20, False), repeats.Windows(13, 4, True)])
+def test_slices_of_a_document_find_the_same_anchors(monkeypatch, w):
+    docs = w.tokens([(t or "").encode() for _, t in cases()])
+
+    def anchors():
+        return {row for s in repeats._slices(w, docs) for row in zip(*(c.tolist() for c in s.anchors()), strict=True)}
+
+    whole = anchors()
+    monkeypatch.setattr(repeats, "SLICE", 150)
+    assert anchors() == whole and whole
