@@ -69,20 +69,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 3
     digits = max(1, math.ceil(math.log(max(total, 1) / 2000, 16)))
     parts = units(docs, weights, slots, temper, source_col)
     table = schedule(parts)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("h"))
-    rows = rows.withColumn("part", F.substring("h", 1, digits))
-    sizes = docs.select(F.col(source_col).alias("source"), F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, digits).alias("part")).groupBy("source", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")
-    sizes = sizes.select("source", "part", before.alias("before"))
-    number = F.row_number().over(Window.partitionBy("source", "part").orderBy("h", F.col(f"row.`{id_col}`"))) - 1
+    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    # a key that is never null, so that numbering and joining share one partitioning of the rows
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), named(F.col(source_col)).alias("key"), h.alias("h")).withColumn("part", F.substring("h", 1, digits))
+    number = F.row_number().over(Window.partitionBy("key", "part").orderBy("h", F.col(f"row.`{id_col}`"))) - 1
     rows = rows.withColumn("number", number)
-    same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
-    rows = rows.join(sizes, same(rows, sizes, "source", "part"), "left").select("row", rows["source"], (F.col("number") + F.col("before")).alias("number"))
+    sizes = docs.select(named(F.col(source_col)).alias("key"), F.substring(h, 1, digits).alias("part")).groupBy("key", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n"))
+    table = table.withColumn("key", named(F.col("source")))
+    per = table.groupBy("key").agg(F.first("units").alias("units"), F.first("period").alias("period"))
+    sizes = sizes.join(per, "key").select("key", "part", "before", "units", "period")
+    rows = rows.join(sizes, ["key", "part"]).withColumn("number", F.col("number") + F.col("before"))
     rows = rows.withColumn("block", F.floor(F.col("number") / block)).withColumn("place", F.col("number") % block)
-    per = table.groupBy("source").agg(F.first("units").alias("units"), F.first("period").alias("period"))
-    rows = rows.join(per, same(rows, per, "source"), "left").select("row", rows["source"], "block", "place", "period", (F.col("block") % F.col("units")).cast("int").alias("turn"), F.floor(F.col("block") / F.col("units")).alias("round"))
-    starts = table.select("source", "turn", "start")
-    return rows.join(starts, same(rows, starts, "source", "turn"), "left").select("row", rows["source"], "block", (F.col("round") * F.col("period") + F.col("start")).alias("slot"), "place")
+    rows = rows.withColumn("turn", (F.col("block") % F.col("units")).cast("int")).withColumn("round", F.floor(F.col("block") / F.col("units")))
+    return rows.join(table.select("key", "turn", "start"), ["key", "turn"]).select("row", "source", "block", (F.col("round") * F.col("period") + F.col("start")).alias("slot"), "place")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
