@@ -2,10 +2,11 @@
 
 fit() counts the words of labelled documents, at most about `rows_per_language` of
 each language (a documented bound: all documents are predicted, a bounded sample is
-learned from), and keeps the `max_words` most frequent words and, for each order
-from `longest` down to 1, the `max_runs` most frequent character runs. The model is
-therefore of bounded size, whatever the corpus, and is broadcast. Languages are taken
-to be few; the model has a number for each.
+learned from, picked by a hash of id and text, so that copies of one text don't come
+all or not at all). Every word of the sample and every character run of 1 to
+`longest` characters of its words is kept. The model is therefore bounded by the
+sample alone and is broadcast as two tables of numbers. Languages are taken to be
+few; the model has a number for each.
 
 A known word scores its log frequency in each language, relative to the mean over
 languages. An unseen word scores the mean over its known runs of the greatest length
@@ -34,7 +35,7 @@ from .storage import kept
 _WORD = re.compile(r"[^\W\d_]+")
 _COUNTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 _PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-_KNOWN = 1 << 18
+_UNSEEN = 1 << 17
 
 
 def runs(word: str, n: int) -> list[str]:
@@ -57,46 +58,53 @@ def _count(batches):
 
 
 class Model:
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], by_order: dict[int, dict[str, np.ndarray]], backoff: float):
-        self.languages, self.words, self.by_order, self.backoff = languages, words, by_order, backoff
+    """words and runs: the row of `word_scores` and `run_scores`, which have a column for each language."""
+
+    def __init__(self, languages: list[str], words: dict[str, int], word_scores: np.ndarray, runs: dict[str, int], run_scores: np.ndarray, longest: int, backoff: float):
+        self.languages, self.words, self.word_scores, self.runs, self.run_scores, self.longest, self.backoff = languages, words, word_scores, runs, run_scores, longest, backoff
 
     def unseen(self, word: str) -> np.ndarray:
         weight = 1.0
-        for n in sorted(self.by_order, reverse=True):
-            known = self.by_order[n]
-            if found := [known[r] for r in runs(word, n) if r in known]:
-                return weight * np.mean(found, axis=0)
+        for n in range(self.longest, 0, -1):
+            if found := [at for r in runs(word, n) if (at := self.runs.get(r)) is not None]:
+                return weight * self.run_scores[found].mean(axis=0)
             weight *= self.backoff
         return np.zeros(len(self.languages))
 
 
-def fit(labelled: DataFrame, rows_per_language: int = 2500, max_words: int = 30_000, max_runs: int = 10_000, longest: int = 5, backoff: float = 0.7, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """The model of the languages of `labelled`; it is of bounded size and is made on the driver from its counts."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+def _relative(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    logs = np.log((counts + 0.5) / (totals + 1.0))
+    return logs - logs.mean(axis=1, keepdims=True)
+
+
+def counts(labelled: DataFrame, rows_per_language: int = 5000, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """lang, word and n of the sample."""
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.try_element_at(F.create_map(*[x for k, n in sorted(size.items()) for x in (F.lit(k), F.lit(rows_per_language / n))]), F.col("lang")) if size else F.lit(0.0)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
-    counted = kept(sample.mapInArrow(_count, _COUNTED).groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    by_word = counted.groupBy("word").agg(F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "n")))).alias("by"))
-    top = by_word.orderBy(F.desc("n"), "word").limit(max_words).collect()
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(totals)
-    whole = np.array([totals[x] for x in languages], float)
-
-    def relative(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
-        logs = np.log((counts + 0.5) / (total + 1.0))
-        return logs - logs.mean()
-
-    words = {r["word"]: relative(np.array([r["by"].get(x, 0) for x in languages], float), whole) for r in top}
-    by_order: dict[int, dict[str, np.ndarray]] = {}
+    sample = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    return sample.mapInArrow(_count, _COUNTED).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit(labelled: DataFrame, rows_per_language: int = 5000, longest: int = 5, backoff: float = 0.7, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model:
+    """The model of the languages of `labelled`, with all words and runs of the sample."""
+    counted = kept(counts(labelled, rows_per_language, id_col, lang_col, text_col))
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    if not languages:
+        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), longest, backoff)
+
+    def gathered(df: DataFrame, key: str) -> tuple[list[str], np.ndarray]:
+        found = df.groupBy(key).agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]).toArrow()
+        return found.column(0).to_pylist(), np.stack([c.to_numpy() for c in found.columns[1:]], axis=1).astype(float)
+
+    words, n = gathered(counted, "word")
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    for n in range(1, longest + 1):
-        text = padded if n > 1 else F.col("word")
-        each = counted.where(F.length(text) >= n).select("lang", "n", F.explode(_runs(text, n)).alias("run")).groupBy("lang", "run").agg(F.sum("n").alias("n"))
-        found = each.groupBy("run").agg(F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "n")))).alias("by")).orderBy(F.desc("n"), "run").limit(max_runs).collect()
-        sums = np.sum([[r["by"].get(x, 0) for x in languages] for r in found], axis=0).astype(float) if found else whole
-        by_order[n] = {r["run"]: relative(np.array([r["by"].get(x, 0) for x in languages], float), sums) for r in found}
-    return Model(languages, words, by_order, backoff)
+    each = [F.when(F.length(text) >= k, _runs(text, k)).otherwise(F.array().cast("array<string>")) for k in range(1, longest + 1) for text in [padded if k > 1 else F.col("word")]]
+    spelled, m = gathered(counted.select("lang", "n", F.explode(F.concat(*each)).alias("run")), "run")
+    order = np.array([len(r) for r in spelled])
+    sums = np.zeros((longest + 1, len(languages)))
+    np.add.at(sums, order, m)
+    return Model(languages, {w: i for i, w in enumerate(words)}, _relative(n, n.sum(axis=0)), {r: i for i, r in enumerate(spelled)}, _relative(m, sums[order]), longest, backoff)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,20 +114,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches):
         m = shared.value
         k = len(m.languages)
-        size = 1 << 16
-        table = np.zeros((size, max(1, k)))
 
         class Places(dict):
+            """Rows of `table` by word: those of the known words, then those of the unseen ones that were met."""
+
             def __missing__(self, word):
                 nonlocal table
                 if len(table) <= len(self):
-                    table = np.concatenate((table, np.zeros_like(table)))
-                v = m.words.get(word)
-                table[len(self)] = m.unseen(word) if v is None else v
+                    table = np.concatenate((table, np.zeros((1 << 16, k))))
+                table[len(self)] = m.unseen(word)
                 self[word] = i = len(self)
                 return i
 
-        at = Places()
+        at, table = Places(m.words), m.word_scores
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
@@ -127,8 +134,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 if not words or not any(c.isalpha() for w in words for c in w):
                     out.append(("und", 0.0))
                     continue
-                if len(at) > _KNOWN:
-                    at = Places()
+                if len(at) > len(m.words) + _UNSEEN:
+                    at, table = Places(m.words), m.word_scores
                 total = np.zeros(k)
                 for i in range(0, len(words), 50_000):
                     rows = [at[w] for w in words[i : i + 50_000]]  # before the table is looked at, as it may grow

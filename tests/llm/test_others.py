@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import os
 import random
 import re
@@ -124,6 +125,30 @@ def test_language_is_told_of_held_out_documents(spark):
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_language_model_keeps_all_words_and_runs(spark):
+    rng = random.Random(6)
+    letters = {"a": "abcdefghij", "b": "efghijklmn", "c": "ijklmnopqé"}
+    rows = [(i, " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randint(3, 9))) for _ in range(250)), k) for i, k in enumerate(["a", "b", "c"] * 60)]
+    model, words, counts = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")), Counter(), Counter()
+    for _, text, k in rows:
+        for w in text.split():
+            words[w, k] += 1
+            counts.update((r, k) for n in range(1, 6) for r in langid.runs(w, n))
+    assert set(model.words) == {w for w, _ in words} and len(model.words) > 30_000
+    assert set(model.runs) == {r for r, _ in counts} and len(model.runs) > 60_000
+    for known, scores, n, same in ((model.words, model.word_scores, words, lambda x, y: True), (model.runs, model.run_scores, counts, lambda x, y: len(x) == len(y))):
+        for x in rng.sample(sorted(known), 20):
+            logs = [math.log((n[x, k] + 0.5) / (sum(c for (y, j), c in n.items() if j == k and same(x, y)) + 1)) for k in "abc"]
+            assert list(scores[known[x]]) == pytest.approx([v - sum(logs) / 3 for v in logs])
+    assert {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()} == {i: k for i, _, k in rows}
+
+
+def test_language_sample_takes_copies_of_a_text_one_by_one(spark):
+    rows = [(i, "same words here", "a") for i in range(4000)]
+    counted = langid.counts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=1000)
+    assert {r.word for r in counted.collect()} == {"same", "words", "here"} and all(800 < r.n < 1200 for r in counted.collect())
+
+
 def luhn(s):
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
 
