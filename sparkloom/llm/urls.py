@@ -1,13 +1,16 @@
 """URL filters: site rules first, a character language-model ratio for the rest.
 
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, predict
-each character from the longest run before it that the models know. A run is known
-if it is among the `max_runs` most frequent (shorter first), so all its endings are
-known too, and the table of runs is of bounded size and safe to broadcast. For each
+each character from the longest run before it that the models know. Every run of the
+labelled URLs is known, and so are all its endings; the table of runs grows with the
+input and is never broadcast. For each
 run of up to `longest` characters the table holds the log ratio of the two smoothed
 probabilities of its last character, less that of its ending without the first
 character; the sum over a URL's known runs is then the sum over its characters of
-the ratio at the longest known one. It is divided by the length and compared with a
+the ratio at the longest known one. Those of one place are the endings of the up to
+`longest` characters before it, so distinct ends meet the table first. The texts' ends
+meet the sums of the `frequent` most common ends at most by a broadcast, which leaves
+one row for each text, and those of all others by a shuffle. The score is divided by the length and compared with a
 threshold between the means of both classes, at equal numbers of their deviations.
 
 Learning takes the URLs that the rules decide, and counts hosts with a term of TERMS
@@ -24,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import kept
+
 #: Parts of host names that mark unwanted sites.
 TERMS = ("adult", "bets", "casino", "gambl", "malware", "phish", "pills", "poker", "porn", "spam", "xxx")
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -65,11 +70,17 @@ def _runs(text: Column, longest: int) -> Column:
     return F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), i)), lambda n: F.array_join(F.slice(chars, i - n + 1, n), ""))))
 
 
-def fit(labelled: DataFrame, longest: int = 5, max_runs: int = 20_000, alpha: float = 0.5, alphabet: int = 64) -> DataFrame:
+def _ends(text: Column, longest: int) -> Column:
+    """For each character, the up to `longest` characters that end with it."""
+    chars = F.split(F.concat(F.lit("^"), text), "")
+    return F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.array_join(F.slice(chars, F.greatest(F.lit(1), i - longest + 1), F.least(F.lit(longest), i)), ""))
+
+
+def fit(labelled: DataFrame, longest: int = 5, alpha: float = 0.5, alphabet: int = 64) -> DataFrame:
     """run and gain of the known runs. labelled: text, good (boolean)."""
     counts = labelled.select("good", F.explode(_runs(F.col("text"), longest)).alias("run")).groupBy("run").agg(F.count_if("good").alias("a"), F.count_if(~F.col("good")).alias("r"))
-    known = counts.orderBy(F.desc(F.col("a") + F.col("r")), F.length("run"), "run").limit(max_runs)
-    total = counts.where(F.length("run") == 1).agg(F.sum("a").alias("ta"), F.sum("r").alias("tr"))
+    known = kept(counts)
+    total = known.where(F.length("run") == 1).agg(F.sum("a").alias("ta"), F.sum("r").alias("tr"))
     context = known.select(F.col("run").alias("before"), F.col("a").alias("ca"), F.col("r").alias("cr")).unionByName(total.select(F.lit("").alias("before"), F.col("ta").alias("ca"), F.col("tr").alias("cr")))
     with_context = known.withColumn("before", F.substring("run", 1, F.length("run") - 1)).join(context, "before", "left")
     share = lambda c, t: (F.col(c) + alpha) / (F.coalesce(F.col(t), F.lit(0)) + alpha * alphabet)
@@ -78,22 +89,30 @@ def fit(labelled: DataFrame, longest: int = 5, max_runs: int = 20_000, alpha: fl
     return ratio.withColumn("ending", F.substring("run", 2, longest)).join(ending, "ending", "left").select("run", (F.col("ratio") - F.coalesce("less", F.lit(0.0))).alias("gain"))
 
 
-def scores(texts: DataFrame, model: DataFrame, longest: int = 5) -> DataFrame:
+def scores(texts: DataFrame, model: DataFrame, longest: int = 5, frequent: int = 10_000) -> DataFrame:
     """key and score (mean log ratio over the characters) of each row of texts (key, text)."""
-    spread = texts.select("key", F.length("text").alias("n"), F.explode(_runs(F.col("text"), longest)).alias("run"))
-    return spread.join(F.broadcast(model), "run", "left").groupBy("key").agg(F.round(F.coalesce(F.sum("gain"), F.lit(0.0)) / F.greatest(F.first("n"), F.lit(1)), 9).alias("score"))
-
-
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", longest: int = 5, max_runs: int = 20_000) -> DataFrame:
+    spread = texts.select("key", F.length("text").alias("n"), F.explode(_ends(F.col("text"), longest)).alias("end"))
+    met = spread.groupBy("end").agg(F.count("*").alias("times"))
+    runs = met.select("end", "times", F.explode(F.transform(F.sequence(F.lit(1), F.length("end")), lambda n: F.substring("end", F.length("end") - n + 1, n))).alias("run"))
+    gains = kept(runs.join(model, "run").groupBy("end").agg(F.first("times").alias("times"), F.sum("gain").alias("gain")))
+    least = (gains.agg(F.sum("times").alias("n")).first()["n"] or 0) / frequent
+    often, seldom = (gains.where(c).select("end", "gain") for c in (F.col("times") >= least, F.col("times") < least))
+    first = spread.join(F.broadcast(often), "end", "left")
+    near = first.groupBy("key").agg(F.first("n").alias("n"), F.coalesce(F.sum("gain"), F.lit(0.0)).alias("gain"))
+    far = first.where("gain IS NULL").select("key", "n", "end").join(seldom.hint("merge"), "end").select("key", "n", "gain")
+    return near.unionByName(far).groupBy("key").agg(F.round(F.sum("gain") / F.greatest(F.first("n"), F.lit(1)), 9).alias("score"))
+
+
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", longest: int = 5) -> DataFrame:
     """page_id, host, path, rule, verdict, score of each row; rows without a rule follow the models."""
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     parts = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = parts.withColumn("by", rule_of(F.col("host"), F.col("path"), rules)).withColumn("text", F.concat("host", "path"))
     marked = F.col("host").rlike("|".join(TERMS))
     labelled = ruled.where(marked | F.col("by").isNotNull()).select("text", (F.coalesce(F.col("by.verdict") == "allow", F.lit(False)) & ~marked).alias("good"))
-    model = fit(labelled, longest, max_runs)
+    model = fit(labelled, longest)
     texts = ruled.select(F.col("text").alias("key"), "text").distinct()
-    scored = scores(texts, model, longest)
+    scored = kept(scores(texts, model, longest))
     classes = {r["good"]: r for r in labelled.join(scored, labelled["text"] == scored["key"]).groupBy("good").agg(F.avg("score").alias("m"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("d")).collect()}
     threshold = 0.0
     if len(classes) == 2:

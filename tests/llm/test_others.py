@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import statistics
 from collections import Counter
 from fractions import Fraction
 
@@ -183,6 +184,45 @@ def test_url_parts_and_rules(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def plain_verdicts(pages):
+    """Verdicts of learned rows from plain counts of all runs."""
+    parts = {i: ((u := url.split("://", 1)[1]).partition("/")[0], "/" + u.partition("/")[2]) for i, url in pages}
+    bad = lambda h: any(t in h for t in urls.TERMS)
+    def by(h, p):
+        found = [(len(r), v) for v, r in urls.RULES if (h == (x := r.partition("/"))[0] or h.endswith("." + x[0])) and p.startswith("/" + x[2])]
+        return max(found)[1] if found else None
+    spelled = lambda t: [t[i - n : i] for i in range(1, len(t) + 1) for n in range(1, min(5, i) + 1)]
+    good, count = {}, Counter()
+    for i, (h, p) in parts.items():
+        if bad(h) or by(h, p):
+            good[i] = by(h, p) == "allow" and not bad(h)
+            count.update((r, good[i]) for r in spelled("^" + h + p))
+    known = {r for r, _ in count}
+    total = {g: sum(n for (r, k), n in count.items() if k == g and len(r) == 1) for g in (True, False)}
+    def ratio(r):
+        share = [(count[r, g] + 0.5) / ((count[r[:-1], g] if len(r) > 1 else total[g]) + 32) for g in (True, False)]
+        return math.log(share[0] / share[1])
+    gain = {r: ratio(r) - (ratio(r[1:]) if len(r) > 1 else 0) for r in known}
+    score = {i: round(sum(gain.get(r, 0) for r in spelled("^" + h + p)) / len(h + p), 9) for i, (h, p) in parts.items()}
+    (ma, da), (mr, dr) = ((statistics.mean(x), statistics.pstdev(x)) for g in (True, False) for x in [[score[i] for i in good if good[i] == g]])
+    threshold = round((ma * dr + mr * da) / (da + dr), 9)
+    return len(known), {i: by(*parts[i]) or ("allow" if score[i] >= threshold else "block") for i in parts}, score
+
+
+def test_url_model_keeps_all_runs(spark):
+    rng = random.Random(7)
+    name = lambda cs: "".join(rng.choice(cs) for _ in range(12))
+    pages = [(i, f"http://{name('abcdefgh')}.{h}{name('stuvwxyz0123456789')}") for i, h in enumerate(["example.net/en/", "example.com/de/", "casino.com/", "org/fr/", "site.info/", "other.info/"] * 200)]
+    n, verdicts, score = plain_verdicts(pages)
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()
+    assert n > 20_000 and {r.page_id: r.verdict for r in got} == verdicts
+    assert all(r.score == pytest.approx(score[r.page_id], abs=2e-9) for r in got)
+    texts = spark.createDataFrame([(u, u) for _, u in pages[:50]], "key string, text string")
+    model = urls.fit(spark.createDataFrame([(u, i % 2 == 0) for i, u in pages], "text string, good boolean"))
+    same = [{r.key: round(r.score, 8) for r in urls.scores(texts, model, frequent=k).collect()} for k in (1, 50, 10_000)]
+    assert same[0] == same[1] == same[2] and len(same[0]) == 50
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
