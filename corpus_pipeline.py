@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, tokens of the documents that are kept and mixed out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents.
+return the columns of documents. Source mixing adds block, slot and place, as rows
+have no order once they are written; the last stage carries them to the output.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import minhash, mixing, pii, quality
 from sparkloom.llm.queries import bpe_digests
-from sparkloom.llm.storage import kept
+from sparkloom.llm.storage import reread
 from sparkloom.packaging import shipped
 
 
@@ -31,14 +32,14 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix."""
-    return mixing.mixed(docs)
+    """All documents with their block, slot and place in the mix."""
+    return mixing.mix(docs).orderBy("slot", "place").select("row.*", *mixing.ADDED)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Counts and digests of each document's tokens and of what they decode to."""
+    """Counts and digests of each document's tokens and of what they decode to, with its place in the mix."""
     shipped(spark)
-    return bpe_digests(docs)
+    return bpe_digests(docs, mixing.ADDED)
 
 
 STAGES = [
@@ -55,5 +56,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir))
+        docs = reread(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

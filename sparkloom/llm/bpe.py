@@ -16,7 +16,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import pairwise
 from pathlib import Path
 from struct import pack
@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The words, digits and other signs that the vocabulary's file asks for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -171,8 +172,12 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
 
 
-def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array<int>) of each row."""
+def _with(schema: str, docs: DataFrame, carried: Sequence[str]) -> T.StructType:
+    return T.StructType([*T.StructType.fromDDL(schema).fields, *(docs.schema[c] for c in carried)])
+
+
+def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, ids (array<int>) and the `carried` columns of each row."""
     text = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text(encoding="utf-8"))
 
     def run(batches):
@@ -180,13 +185,13 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
         for batch in batches:
             for a, b in _bounded(batch, 1 << 21):
                 found = [v.encode(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(found)], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(found), *(c.slice(a, b - a) for c in batch.columns[2:])], ["doc_id", "ids", *carried])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carried).mapInArrow(run, _with("doc_id long, ids array<int>", docs, carried))
 
 
-def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """doc_id, ids and decoded (text) of each row of encode()."""
+def decode(encoded: DataFrame, vocabulary_path: str, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, ids, decoded (text) and the `carried` columns of each row of encode()."""
     text = encoded.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text(encoding="utf-8"))
 
     def run(batches):
@@ -197,6 +202,6 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
                 ids = part.column(1)
                 flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0] + ids.value_lengths().to_pylist())
                 said = [v.decode(flat[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(said, pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(said, pa.string()), *part.columns[2:]], ["doc_id", "ids", "decoded", *carried])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids", *carried).mapInArrow(run, _with("doc_id long, ids array<int>, decoded string", encoded, carried))

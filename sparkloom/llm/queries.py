@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,10 +54,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
-    found = bpe.decode(bpe.encode(docs, vocabulary_path()), vocabulary_path())
+def bpe_digests(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    found = bpe.decode(bpe.encode(docs, vocabulary_path(), carried=carried), vocabulary_path(), carried)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *carried)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, knn, langid, mixing, pii, quality, urls
+from sparkloom.llm import bpe, knn, langid, minhash, mixing, pii, quality, urls
 from sparkloom.llm import queries as llm_queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -231,3 +231,30 @@ def test_pipeline_stages(spark):
     got = {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()}
     passed = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
     assert got and got <= passed
+
+
+def test_pipeline_rows(spark):
+    import hashlib
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = [tuple(r) for r in pii.pseudonymised(minhash.deduplicated(quality.accepted(docs), size=5, percent=80)).select("doc_id", "source", "text").collect()]
+    library = Tokenizer.from_file(llm_queries.vocabulary_path())
+    by_source: dict[str, list] = {}
+    for i, source, text in texts:
+        by_source.setdefault(source, []).append((hashlib.md5(str(i).encode()).hexdigest(), i, text))
+    power = {s: round(len(x) ** 0.7, 9) for s, x in by_source.items()}
+    units = {s: max(1, math.floor(power[s] * 1000 / sum(power.values()) + 0.5)) for s in sorted(power)}
+    ran = edf(list(units.items()))
+    starts = {s: [slot for slot, x in enumerate(ran) if x == s] for s in units}
+    want = Counter()
+    for s, rows in by_source.items():
+        for n, (_, i, text) in enumerate(sorted(rows)):
+            block, place = divmod(n, 32)
+            ids = library.encode(text or "", add_special_tokens=False).ids
+            told = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+            want[i, len(ids), *told, block, block // units[s] * len(ran) + starts[s][block % units[s]], place] += 1
+    got = corpus_pipeline.run(spark, DATA).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "block", "slot", "place")
+    assert Counter(map(tuple, got.collect())) == want and len(want) > 32 and len({r[5] for r in want}) > 1
