@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom import streaming
 from sparkloom.packaging import shipped
 from sparkloom.sources import table
 
 
-def _ended(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has put out when all its input is read."""
-    name = f"out_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def _shared(spark: SparkSession) -> str:
+    """A new folder in the shared folder of spark.checkpoint.dir, or in one of its own in a session without it."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def _ended(stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
+    """The latest row of each key that a stream has put out when all its input is read, by way of Parquet files."""
+    spark, folder = stream.sparkSession, _shared(stream.sparkSession)
+
+    def put(found: DataFrame, batch: int) -> None:
+        found.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    put(spark.createDataFrame([], stream.schema), -1)
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    found = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/out")
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row")).select("row.*")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return shipped(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = f"{d}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = shipped(spark).readStream.schema(schema)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    return (stream.parquet(path) if folder else stream.option("pathGlobFilter", "events.parquet").parquet(d)).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    found = _ended(spark, streaming.tumbling(_events(spark, d), "ts", "1 day", "1 hour", ["event_type"], "value"), "complete")
+    found = _ended(streaming.tumbling(_events(spark, d), "ts", "1 day", "1 hour", ["event_type"], "value"), "complete", ["starts", "event_type"])
     return found.select(F.date_format("starts", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
@@ -36,7 +56,7 @@ def batch_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_rolling(spark: SparkSession, d: str) -> DataFrame:
-    found = _ended(spark, streaming.rolling_last(_events(spark, d), "user_id", "long", "ts", "value", 20), "update")
+    found = _ended(streaming.rolling_last(_events(spark, d), "user_id", "long", "ts", "value", 20), "update", ["user_id"])
     return found.select("user_id", "n", F.round("mean", 4).alias("mean"))
 
 
