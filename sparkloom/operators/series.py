@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,20 +72,35 @@ def _per_series(df: DataFrame, keys: list[str], order: list[str], value: str, ke
 
 
 def cusum(df: DataFrame, keys: list[str], key_schema: str, order: list[str], value: str, slack: float = 0.5, limit: float = 8.0) -> DataFrame:
-    """at (place in the series) and side (+1 or -1) of each alarm; the sums start anew after one, from the mean so far."""
-
-    def kernel(x: np.ndarray) -> pd.DataFrame:
-        sd = x.std() or 1.0
-        mean, up, down, found = x[: max(1, len(x) // 10)].mean(), 0.0, 0.0, []
-        for i, v in enumerate(x):
-            z = (v - mean) / sd
-            up, down = max(0.0, up + z - slack), max(0.0, down - z - slack)
-            if max(up, down) > limit:
-                found.append((i, 1 if up > down else -1))
-                mean, up, down = x[max(0, i - 80) : i + 1].mean(), 0.0, 0.0
-        return pd.DataFrame(found, columns=["at", "side"]).astype("int64")
-
-    return _per_series(df, keys, order, value, kernel, f"{key_schema}, at long, side long")
+    """at (place in the series) and side (+1 or -1) of each alarm; the sums start anew after one, from the mean so far.
+
+    Rows come in order of key and time, and a task holds the sums and the last 81 values only.
+    """
+    g = Window.partitionBy(*keys)
+    x = F.col(value).cast("double")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, *order, x.alias("_x"), (F.row_number().over(g.orderBy(*order)) - 1).cast("long").alias("at"))
+    rows = rows.withColumns({"_n": F.count("*").over(g), "_sd": F.stddev_pop("_x").over(g)})
+    rows = rows.withColumn("_mean", F.avg(F.when(F.col("at") < F.greatest(F.lit(1), F.floor(F.col("_n") / 10)), F.col("_x"))).over(g))
+
+    def run(batches):
+        last: deque = deque(maxlen=81)
+        mean = up = down = 0.0
+        for batch in batches:
+            found = []
+            for row, (v, at, sd, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_x", "at", "_sd", "_mean")), strict=True)):
+                if at == 0:
+                    mean, up, down = start, 0.0, 0.0
+                    last.clear()
+                last.append(v)
+                z = (v - mean) / (sd or 1.0)
+                up, down = max(0.0, up + z - slack), max(0.0, down - z - slack)
+                if max(up, down) > limit:
+                    found.append((row, 1 if up > down else -1))
+                    mean, up, down = float(np.mean(last)), 0.0, 0.0
+            alarms = batch.take(pa.array([i for i, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(alarms.column(k) for k in keys), alarms.column("at"), pa.array([side for _, side in found], pa.int64())], [*keys, "at", "side"])
+
+    return rows.sortWithinPartitions(*keys, "at").select(*keys, "at", "_x", "_sd", "_mean").mapInArrow(run, f"{key_schema}, at long, side long")
 
 
 def matrix_profile(df: DataFrame, keys: list[str], key_schema: str, order: list[str], value: str, window: int) -> DataFrame:

@@ -58,3 +58,24 @@ def test_cusum_finds_a_shift(spark):
     df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "k string, i int, x double")
     found = series.cusum(df, ["k"], "k string", ["i"], "x", limit=4.0).orderBy("at").first()
     assert 100 <= found["at"] <= 110 and found["side"] == 1
+
+
+def test_cusum_streams_a_long_series(spark):
+    rng = np.random.default_rng(3)
+    data = {"a": rng.normal(size=12_000), None: rng.normal(3, 2, 500), "c": np.ones(20)}
+    data["a"][7000:] += 4
+    data[None][100:] -= 9
+    want = set()
+    for k, x in data.items():
+        sd, mean, up, down = x.std() or 1.0, x[: max(1, len(x) // 10)].mean(), 0.0, 0.0
+        for i, v in enumerate(x):
+            z = (v - mean) / sd
+            up, down = max(0.0, up + z - 0.5), max(0.0, down - z - 0.5)
+            if max(up, down) > 8:
+                want.add((k, i, 1 if up > down else -1))
+                mean, up, down = x[max(0, i - 80) : i + 1].mean(), 0.0, 0.0
+    rows = [(k, i, float(v)) for k, x in data.items() for i, v in enumerate(x)]
+    got = series.cusum(spark.createDataFrame(rows, "k string, i int, x double").repartition(7), ["k"], "k string", ["i"], "x")
+    assert want and {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
