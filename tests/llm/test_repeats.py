@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from sparkloom.llm import repeats
+from sparkloom.llm import census, suffix_dedup
 from sparkloom.llm.debruijn import remove_repeated_words
 from sparkloom.llm.suffix_dedup import remove_repeated_bytes
 
@@ -53,27 +53,50 @@ def test_empty_table(spark):
     assert remove_repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("words", [False, True])
-def test_batches_meet(spark, words):
-    """Copies that lie in different batches find each other."""
+@pytest.mark.parametrize(("length", "words", "remove"), [(50, False, remove_repeated_bytes), (13, True, remove_repeated_words), (24, False, remove_repeated_bytes), (5, True, remove_repeated_words)])
+def test_batches_meet(spark, monkeypatch, length, words, remove):
+    """Copies that lie in different batches, slices and buckets find each other."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 5000)
     rows = cases()
-    w = repeats.Windows(13, 4, True) if words else repeats.Windows(50, 20, False)
-    from sparkloom.llm import debruijn, suffix_dedup
+    got = remove(spark.createDataFrame(rows, "doc_id long, text string"), length, batch_bytes=3000).collect()
+    assert sorted(((r[0], r[1], r[2], bytes(r["kept"])) for r in got), key=str) == brute(rows, length, words)
+
+
+def test_slices_of_a_batch_find_the_same(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [r for r in cases() if r[0] is not None]
+    table = pa.table({"id": pa.array([i for i, _ in rows]), "data": pa.array([None if t is None else t.encode() for _, t in rows])})
+
+    def found():
+        b = suffix_dedup._Batch(table, 50)
+        return {(p, h) for p, h in zip(*(x.tolist() for x in b.digits()), strict=True)}, sum(b.pieces(b.fits, 7)[1])
+
+    whole = found()
+    monkeypatch.setattr(suffix_dedup, "SLICE", 150)
+    assert found() == whole and whole[1] == np.sum(suffix_dedup._Batch(table, 50).fits)
+
 
-    module = debruijn if words else suffix_dedup
-    names = "doc_id long, n long, n_removed long, spans array<struct<start: long, end: long>>, kept binary".replace("n long,", "n_words long," if words else "n_bytes long,", 1)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = repeats.without_repeats(df, w, module._finish, module._OUT, names, "doc_id", "text", batch_bytes=3000).collect()
-    assert sorted(((r[0], r[1], r[2], bytes(r["kept"])) for r in got), key=str) == brute(rows, w.length, words)
+@pytest.mark.parametrize(("n", "universe"), [(1, 1 << 10), (700, 1 << 10), (1024, 1 << 10), (5, 1 << 24), (3000, 1 << 20)])
+def test_slots_come_back(n, universe):
+    import numpy as np
 
+    slots = np.sort(np.random.default_rng(n).choice(universe, n, replace=False)).astype(np.uint32)
+    assert (census.decode(census.encode(slots, universe), n, universe) == slots).all()
 
-@pytest.mark.parametrize("w", [repeats.Windows(50, 20, False), repeats.Windows(13, 4, True)])
-def test_slices_of_a_document_find_the_same_anchors(monkeypatch, w):
-    docs = w.tokens([(t or "").encode() for _, t in cases()])
 
-    def anchors():
-        return {row for s in repeats._slices(w, docs) for row in zip(*(c.tolist() for c in s.anchors()), strict=True)}
+def test_radix_passes_group_equal_suffixes():
+    import numpy as np
 
-    whole = anchors()
-    monkeypatch.setattr(repeats, "SLICE", 150)
-    assert anchors() == whole and whole
+    data = "".join(random.Random(5).choice("ab") for _ in range(3000)).encode()
+    for length in (12, 16, 21):
+        at = np.arange(len(data) - length)
+        left, group = suffix_dedup.radix_groups(data, at, length)
+        told = {}
+        for x, g in zip(left.tolist(), group.tolist(), strict=True):
+            told.setdefault(g, set()).add(x)
+        want = {}
+        for x in at.tolist():
+            want.setdefault(data[x : x + length], set()).add(x)
+        assert sorted(map(sorted, told.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
