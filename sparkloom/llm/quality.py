@@ -89,20 +89,23 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: str = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The counts of each row, base_failed, failed (names of the rules that the text breaks) and kept."""
+    """The counts of each row, base_failed, failed (names of the rules that the text breaks) and kept.
+
+    A row's verdict is one struct that a generator hands on: the optimizer moves no filter or
+    column of the caller through it, which would repeat the counts' expressions in each use.
+    """
     failed = [f"IF({r.condition()}, NULL, '{r.name}')" for r in rules]
     found = measures(docs, id_col, text_col).withColumn("base_failed", F.expr(base))
     found = found.withColumn("failed", F.expr(f"IF(n_words = 0, ARRAY('empty'), ARRAY_COMPACT(ARRAY({', '.join(failed) or 'NULL'})))"))
-    return found.withColumn("kept", F.expr("NOT base_failed AND SIZE(failed) = 0"))
+    found = found.withColumn("kept", F.expr("NOT base_failed AND SIZE(failed) = 0"))
+    return found.select(F.inline(F.array(F.struct(*found.columns))))
 
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that pass, with all their columns; judged in place, without a join."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"))
-    judged = judge(packed, rules, id_col="row", text_col="text")
-    # a plain filter would be pushed down with all the counts' expressions in it, again and again
-    return judged.select(F.explode(F.expr("IF(kept, ARRAY(doc_id), SLICE(ARRAY(doc_id), 1, 0))")).alias("row")).select("row.*")
+    return judge(packed, rules, id_col="row", text_col="text").where("kept").select("doc_id.*")
 
 
 ORACLE_SQL = f"""

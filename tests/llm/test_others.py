@@ -59,10 +59,12 @@ def test_queries_match_sql(spark, name):
 def test_top_k_with_ties_nulls_and_lengths(spark):
     rng = random.Random(2)
     rows = [(i, [float(rng.randint(-2, 2)) / 4 for _ in range(3)]) for i in range(120)]
-    rows += [(200, None), (201, [1.0, None, 0.0]), (202, [float("nan")] * 3), (203, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (250, [1.0, 2.0]), (251, [1.0, 2.0]), (252, [])]
+    rows += [(200, None), (201, [1.0, None, 0.0]), (202, [float("nan")] * 3), (203, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (250, [1.0, 2.0]), (251, [1.0, 2.0]), (300, []), (301, []), (350, [1.0] * 9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").where(knn.usable(F.col("embedding"))).select("vec_id", knn.scaled(F.col("embedding")).alias("v"))
     v = {r.vec_id: r.v for r in df.collect() if r.vec_id is not None}
+    df = df.withColumn("score", F.lit("clash"))
     got = knn.top_k(df, df.where("vec_id % 50 = 0"), k=5, pivots=7, block_rows=10).collect()
+    assert knn.top_k(df.limit(0), df).count() == knn.top_k(df, df.limit(0)).count() == 0
     want = []
     for q in (x for x in v if x % 50 == 0):
         best = sorted((-sum(a * b for a, b in zip(v[q], x, strict=True)), i) for i, x in v.items() if i != q and len(x) == len(v[q]))[:5]
@@ -70,6 +72,25 @@ def test_top_k_with_ties_nulls_and_lengths(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_bounds_leave_out_far_clusters():
+    """Of clustered vectors most pairs of query and cell are left out, and no cell that holds one of the best."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 300
+    x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 20)
+    cells = knn.Cells([p.astype(np.int64) for p in x[:64]])
+    cell, away = cells.nearest(x)
+    norm = np.sqrt((x**2).sum(axis=1))
+    cells.summarise([(c, (cell == c).sum(), away[cell == c].max(), norm[cell == c].max()) for c in np.unique(cell)], 500)
+    q, scores = x[::20], x[::20] @ x.T
+    least = np.sort(scores, axis=1)[:, -6]
+    i, c = cells.needed(q, least)
+    pairs = set(zip(i.tolist(), c.tolist(), strict=True))
+    assert {(j, int(cell[y])) for j, y in zip(*np.nonzero(scores >= least[:, None]), strict=True)} <= pairs
+    assert len(pairs) < 0.35 * len(q) * len(np.unique(cell))
+
+
 def edf(units):
     """A plain simulation of one period."""
     period, done, out = sum(u for _, u in units), {s: 0 for s, _ in units}, []
