@@ -37,7 +37,7 @@ from .components import components
 from .hashing import A, B, C, join, mix, words_of
 from .storage import kept
 
-POSTED, COUNTED, BLOCK, BLOCK_SHINGLES = 64, 256, 4096, 1_000_000
+POSTED, COUNTED, BLOCK, BLOCK_SHINGLES, HOT = 64, 256, 4096, 1_000_000, 1000
 _MULTIPLIER = (mix(np.arange(1, COUNTED + 1, dtype=np.uint64) * B) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _OFFSET = (mix(np.arange(1, COUNTED + 1, dtype=np.uint64) * C) >> np.uint64(32)).astype(np.uint32)
 
@@ -227,6 +227,15 @@ def _grouped(rows: DataFrame, keys: list[str], pairs) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_by_group(tuple(keys), pairs), "a long, b long").distinct()
 
 
+def _named(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows with the node of their set. Sets that more than a thousandth of the rows have, a thousand at most, are broadcast; they would each meet in one task."""
+    most = reps.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"] / HOT
+    hot, rest = (reps.where(c).select("k1", "k2", "node") for c in (F.col("times") > most, F.col("times") <= most))
+    first = rows.join(F.broadcast(hot), ["k1", "k2"], "left")
+    cold = first.where("node IS NULL").drop("node").join(rest.hint("merge"), ["k1", "k2"], "left")
+    return first.where("node IS NOT NULL").unionByName(cold)
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable) and kept (whether it is the row's own) of each row."""
     similarity = percent / 100
@@ -251,8 +260,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     dealt = _in_blocks(members.join(large, "component"), F.col("blocks"), ["component"])
     links = _grouped(dealt.join(sets, "node"), ["component"], _cluster(percent))
 
-    reps = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    owned = signed.select("doc_id", "n", "k1", "k2").join(reps, ["k1", "k2"], "left").withColumn("node", F.when(F.col("n") > 0, F.col("node")))
+    reps = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("times"))
+    owned = _named(signed.select("doc_id", "n", "k1", "k2"), reps).withColumn("node", F.when(F.col("n") > 0, F.col("node")))
     several = owned.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a < b")
     joined = components(kept(links).unionByName(several.select("a", F.explode("all").alias("b"))))
     found = owned.join(joined, "node", "left")

@@ -9,11 +9,20 @@ of the slots to within less than one block. Deadlines repeat with the period, so
 period's schedule serves any number of blocks, and each block finds its slot by a
 join on (source, place in the period): no step runs over all blocks one by one.
 
-Every row is kept. A source whose blocks are used up leaves its slots empty and the
-others go on in order. Null sources are one source. Rows that share an id follow one
-another. Numbers within a source are counted within 16^digits parts by the first
-digits of the hash, so a source with a third of all rows is spread over many tasks.
-The period has about `slots` slots and the schedule as many rows, whatever the data.
+Weights are the caller's: a number for each source, `default` for those not named. A
+weight of 0 (or less, or no number) means none: rows of such a source are returned with
+null block, slot and place, and `mixed` leaves them out. Without any weights a source's
+target is its number of rows to the power `temper`.
+
+The mix holds to the target as long as every source has blocks left: up to the slot
+`balanced` says. A source whose blocks are used up leaves its slots empty, and the
+others go on in order, so no row is repeated or lost. Null sources are one source, named
+'' in the weights. Rows that share an id follow one another. Numbers within a source are
+counted within 16^digits parts by the first digits of the hash, so a source with a third
+of all rows is spread over many tasks.
+
+The period has about `slots` slots, or one for each source if there are more sources;
+making it takes time in proportion to slots times sources and looks at no document.
 
 Only DataFrame functions are used.
 """
@@ -21,8 +30,9 @@ Only DataFrame functions are used.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,16 +40,22 @@ from pyspark.sql.window import Window
 ADDED = ("block", "slot", "place")
 
 
-def units(docs: DataFrame, weights: dict[str, float] | None, slots: int, temper: float, source_col: str) -> DataFrame:
-    """source and units: the given weights, or the sources' shares to the power `temper`; one unit at least."""
+def units(docs: DataFrame, weights: dict[str, float] | None, slots: int, temper: float, source_col: str, default: float = 1.0) -> DataFrame:
+    """source and units: its share of about `slots`, one at least; sources of no weight are left out."""
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         power = F.pow(F.col("n").cast("double"), F.lit(temper))
     else:
         given = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]) if weights else F.lit(None).cast("map<string,double>")
-        power = F.coalesce(F.try_element_at(given, F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(0.0))
+        power = F.coalesce(F.try_element_at(given, F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(float(default)))
     sums = F.sum("power").over(Window.partitionBy())
-    return sizes.withColumn("power", F.round(power, 9)).select("source", F.greatest(F.lit(1), F.coalesce(F.round(F.col("power") * slots / F.nullif(sums, F.lit(0.0))), F.lit(1)).cast("int")).alias("units"))
+    weighed = sizes.withColumn("power", F.round(power, 9)).where("power > 0 AND power < double('infinity')")
+    return weighed.select("source", F.greatest(F.lit(1), F.round(F.col("power") * slots / sums).cast("int")).alias("units"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def schedule(parts: DataFrame) -> DataFrame:
@@ -50,12 +66,14 @@ def schedule(parts: DataFrame) -> DataFrame:
 
     def step(state, slot):
         def job(x, k):
-            done = F.get(state["done"], k)
+            done = F.get(state["done"], k).cast("long")
             released = F.floor(done * F.col("period") / x["units"]) <= slot
             return F.when(released, F.struct(F.ceil((done + 1) * F.col("period") / x["units"]).alias("deadline"), k.alias("k")))
 
-        first = F.array_min(F.transform("s", job))["k"]
-        return F.struct(F.transform(state["done"], lambda n, k: F.when(k == first, n + 1).otherwise(n)).alias("done"), F.concat(state["ran"], F.array(first)).alias("ran"))
+        def ran(first):
+            return F.struct(F.transform(state["done"], lambda n, k: F.when(k == first["k"], n + 1).otherwise(n)).alias("done"), F.concat(state["ran"], F.array(first["k"])).alias("ran"))
+
+        return _let(F.array_min(F.transform("s", job)), ran)
 
     ran = F.when(F.col("period") > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("period") - 1, F.lit(0))), empty, step, lambda x: x["ran"]))
     slots = one.select("s", "period", F.posexplode(ran).alias("start", "k"))
@@ -63,11 +81,11 @@ def schedule(parts: DataFrame) -> DataFrame:
     return slots.select(F.get("s", F.col("k"))["source"].alias("source"), turn.alias("turn"), "start", F.get("s", F.col("k"))["units"].alias("units"), "period")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, slots: int = 1000, temper: float = 0.7, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All rows with all columns in `row`, and source, block, slot and place (within the block), all counted from 0."""
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 32, slots: int = 1000, temper: float = 0.7, id_col: str = "doc_id", source_col: str = "source", default: float = 1.0) -> DataFrame:
+    """All rows with all columns in `row`, and source, block, slot and place (within the block), all counted from 0; null for sources of no weight."""
     total = docs.count()
     digits = max(1, math.ceil(math.log(max(total, 1) / 2000, 16)))
-    parts = units(docs, weights, slots, temper, source_col)
+    parts = units(docs, weights, slots, temper, source_col, default)
     table = schedule(parts)
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     # a key that is never null, so that numbering and joining share one partitioning of the rows
@@ -79,13 +97,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 3
     sizes = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n"))
     table = table.withColumn("key", named(F.col("source")))
     per = table.groupBy("key").agg(F.first("units").alias("units"), F.first("period").alias("period"))
-    sizes = sizes.join(per, "key").select("key", "part", "before", "units", "period")
+    sizes = sizes.join(per, "key", "left").select("key", "part", "before", "units", "period")
     rows = rows.join(sizes, ["key", "part"]).withColumn("number", F.col("number") + F.col("before"))
     rows = rows.withColumn("block", F.floor(F.col("number") / block)).withColumn("place", F.col("number") % block)
     rows = rows.withColumn("turn", (F.col("block") % F.col("units")).cast("int")).withColumn("round", F.floor(F.col("block") / F.col("units")))
-    return rows.join(table.select("key", "turn", "start"), ["key", "turn"]).select("row", "source", "block", (F.col("round") * F.col("period") + F.col("start")).alias("slot"), "place")
+    weighed = F.col("start").isNotNull()
+    return rows.join(table.select("key", "turn", "start"), ["key", "turn"], "left").select("row", "source", *[F.when(weighed, c).alias(n) for n, c in (("block", F.col("block")), ("slot", F.col("round") * F.col("period") + F.col("start")), ("place", F.col("place")))])
+
+
+def balanced(placed: DataFrame) -> DataFrame:
+    """until: the slot of the last block of the first source that runs out; the mix of the slots up to there has the target weights."""
+    ends = placed.where("slot IS NOT NULL").groupBy("source").agg(F.max("slot").alias("slot"))
+    return ends.agg(F.min("slot").alias("until"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, unchanged, in the order of the mix."""
-    return mix(docs, **options).orderBy("slot", "place").select("row.*")
+    """The rows of `docs`, unchanged, in the order of the mix; sources of no weight are left out."""
+    return mix(docs, **options).where("slot IS NOT NULL").orderBy("slot", "place").select("row.*")

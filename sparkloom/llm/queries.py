@@ -35,8 +35,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Target weights of the mix; sources that are not named weigh 1.
+TARGET_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 2.0, "src4": 0.5}
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    found = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"), TARGET_WEIGHTS)
     return found.select("row.doc_id", "source", "block", "slot", "place")
 
 

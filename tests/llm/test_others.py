@@ -112,6 +112,46 @@ def test_schedule_is_fair(spark):
         assert all(abs(Fraction(slot * u, period) - ran[s]) < 1 for s, u in units)
 
 
+def plain_mix(rows, weights, slots, block, default=1.0):
+    """Block, slot and place of each (id, source), by plain loops."""
+    import hashlib
+
+    by_source: dict[str, list] = {}
+    for i, source in rows:
+        by_source.setdefault(source, []).append((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), i))
+    power = {s: round(weights.get("" if s is None else s, default), 9) for s in by_source}
+    power = {s: x for s, x in power.items() if x > 0}
+    units = {s: max(1, math.floor(power[s] * slots / sum(power.values()) + 0.5)) for s in sorted(power, key=lambda s: (s is not None, s))}
+    ran = edf([((s is not None, s), u) for s, u in units.items()])
+    starts = {s: [slot for slot, x in enumerate(ran) if x == (s is not None, s)] for s in units}
+    out = {}
+    for s, found in by_source.items():
+        for n, (_, i) in enumerate(sorted(found)):
+            b, place = divmod(n, block)
+            out[i] = (b, b // units[s] * len(ran) + starts[s][b % units[s]], place) if s in units else (None, None, None)
+    return out
+
+
+def test_mix_holds_to_its_weights(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(900)]
+    weights = {"a": 1.0, "b": 3.0, "c": 0.0, "": 0.5}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=4, slots=30, default=2.0)
+    placed = got.select("row.doc_id", "source", "block", "slot", "place").collect()
+    assert {r.doc_id: (r.block, r.slot, r.place) for r in placed} == plain_mix(rows, weights, 30, 4, 2.0)
+    assert all((r.slot is None) == (r.source == "c") for r in placed)
+    until = mixing.balanced(got).first().until
+    for slot in range(1, until + 1):
+        ran = Counter(r.source for r in placed if r.slot is not None and r.slot < slot and r.place == 0)
+        assert all(abs(ran[s] - Fraction(slot * units, 30)) < 1 for s, units in (("a", 5), ("b", 14), ("d", 9), (None, 2)))
+
+
+def test_many_sources_are_scheduled_in_time(spark):
+    rows = spark.range(6000).selectExpr("id AS doc_id", "concat('s', id % 1500) AS source")
+    got = mixing.mix(rows, {}).agg(F.count("*"), F.count_distinct("slot")).first()
+    assert tuple(got) == (6000, 1500)
+
+
 def test_mix_keeps_every_row(spark):
     rows = [(i, ["a", "b", None][0 if i % 3 else i % 2 + 1], "t", 1) for i in range(500)] + [(7, "a", "t", 1), (None, "a", None, 2)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, slot int")
@@ -120,6 +160,7 @@ def test_mix_keeps_every_row(spark):
     assert len({(r.slot, r.place) for r in placed}) == len(rows)
     assert all(len({r.source for r in placed if r.slot == s}) == 1 for s in {r.slot for r in placed})
     assert mixing.mixed(df.limit(0)).count() == 0
+    assert mixing.mixed(df, weights={"b": 1.0}, default=0.0).select("source").distinct().collect() == [("b",)]
 
 
 def test_bpe_agrees_with_the_library(spark):
@@ -263,19 +304,10 @@ def test_pipeline_rows(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     texts = [tuple(r) for r in pii.pseudonymised(minhash.deduplicated(quality.accepted(docs), size=5, percent=80)).select("doc_id", "source", "text").collect()]
     library = Tokenizer.from_file(llm_queries.vocabulary_path())
-    by_source: dict[str, list] = {}
-    for i, source, text in texts:
-        by_source.setdefault(source, []).append((hashlib.md5(str(i).encode()).hexdigest(), i, text))
-    power = {s: round(len(x) ** 0.7, 9) for s, x in by_source.items()}
-    units = {s: max(1, math.floor(power[s] * 1000 / sum(power.values()) + 0.5)) for s in sorted(power)}
-    ran = edf(list(units.items()))
-    starts = {s: [slot for slot, x in enumerate(ran) if x == s] for s in units}
-    want = Counter()
-    for s, rows in by_source.items():
-        for n, (_, i, text) in enumerate(sorted(rows)):
-            block, place = divmod(n, 32)
-            ids = library.encode(text or "", add_special_tokens=False).ids
-            told = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
-            want[i, len(ids), *told, block, block // units[s] * len(ran) + starts[s][block % units[s]], place] += 1
+    placed, want = plain_mix([(i, s) for i, s, _ in texts], llm_queries.TARGET_WEIGHTS, 1000, 32), Counter()
+    for i, _, text in texts:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        told = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+        want[i, len(ids), *told, *placed[i]] += 1
     got = corpus_pipeline.run(spark, DATA).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "block", "slot", "place")
     assert Counter(map(tuple, got.collect())) == want and len(want) > 32 and len({r[5] for r in want}) > 1
