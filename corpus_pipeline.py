@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import minhash, mixing, pii, quality
-from sparkloom.llm.queries import bpe_digests
+from sparkloom.llm.queries import TARGET_WEIGHTS, bpe_digests
 from sparkloom.llm.storage import reread
 from sparkloom.packaging import shipped
 
@@ -32,8 +32,8 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their block, slot and place in the mix."""
-    return mixing.mix(docs).orderBy("slot", "place").select("row.*", *mixing.ADDED)
+    """All documents with their block, slot and place in the mix to the target weights."""
+    return mixing.mix(docs, TARGET_WEIGHTS).select("row.*", *mixing.ADDED)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
