@@ -39,16 +39,16 @@ def value_type(text: Column) -> Column:
     t = F.trim(text)
     return (
         F.when(text.isNull() | (t == "") | F.lower(t).isin(*NA_TOKENS), F.lit("empty"))
-        .when(F.lower(t).isin("true", "false", "yes", "no"), "boolean")
-        .when(t.rlike(r"^[+-]?(\d+|\d{1,3}(,\d{3})+)$"), "integer")
-        .when(t.rlike(r"^[+-]?(\d+|\d{1,3}(,\d{3})+)?\.?\d+([eE][+-]?\d+)?$"), "float")
-        .when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2})?)?"), "datetime")
+        .when(F.lower(t).isin("true", "false", "yes", "no", "y", "n"), "boolean")
+        .when(F.try_to_number(F.translate(t, "+-", ""), F.lit("999,999,999,999,999,999")).isNotNull() | t.rlike("^[+-]?[0-9]+$"), "integer")
+        .when(t.cast("string").rlike("^[-+]?[0-9]*[.]?[0-9]+([eE][-+]?[0-9]+)?$"), "float")
+        .when(F.try_to_timestamp(t).isNotNull(), "datetime")
         .otherwise("string")
     )
 
 
 #: Texts that stand for a missing value.
-NA_TOKENS = ("", "na", "n/a", "nan", "null", "none", "-", "--", "?", "missing")
+NA_TOKENS = ("", "na", "n/a", "nan", "null", "none", "-", "--", "---", "?", "??", "missing")
 
 
 def value_types(df: DataFrame, columns: list[str], dominance: float = 0.7) -> DataFrame:
