@@ -195,7 +195,8 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, id_col: str = "doc_
     degrees = batches.cogroup(counted.groupBy("batch")).applyInArrow(edges, _EDGES_SQL).groupBy("range").applyInArrow(_degrees, ANSWER_SQL)
     known = counted.unionByName(degrees)
     paths = batches.cogroup(known.groupBy("batch")).applyInArrow(compacted, _PATHS_SQL).repartition("words")
-    smallest = paths.groupBy("words").agg(F.min("least").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    told = paths.join(smallest, "words").where("first < least")
-    told = told.select("batch", F.lit(3).alias("kind"), F.col("place").alias("range"), F.unhex(F.lpad(F.hex("first"), 16, "0")).alias("a"), F.lit(b"").alias("b"))
+    # the source of each path: the batch and place of the one with the smallest id
+    smallest = paths.groupBy("words").agg(F.min(F.struct("least", "batch", "place")).alias("source"))
+    told = paths.join(smallest, "words").where("source.least < least AND (source.batch <> batch OR source.place <> place)")
+    told = told.select("batch", F.lit(3).alias("kind"), F.col("place").alias("range"), F.unhex(F.lpad(F.hex("source.least"), 16, "0")).alias("a"), F.lit(b"").alias("b"))
     return batches.cogroup(known.unionByName(told).groupBy("batch")).applyInArrow(end, _OUT_SQL)
