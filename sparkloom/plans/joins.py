@@ -22,7 +22,7 @@ def semi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anti(spark: SparkSession, d: str) -> DataFrame:
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 300000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
@@ -98,7 +98,7 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     cut = F.lit("1995-01-01").cast("timestamp")
     a, b = o.where(F.col("o_orderdate") < cut).select("o_custkey"), o.where(F.col("o_orderdate") >= cut).select("o_custkey")
-    parts = (("new", b.exceptAll(b.limit(0)).distinct().join(a, "o_custkey", "left_anti")), ("gone", a.distinct().join(b, "o_custkey", "left_anti")), ("shared", a.intersect(b)))
+    parts = (("new", b.distinct().join(a, "o_custkey", "left_anti")), ("gone", a.distinct().join(b, "o_custkey", "left_anti")), ("shared", a.intersect(b)))
     named = [p.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, p in parts]
     return named[0].unionByName(named[1]).unionByName(named[2])
 
@@ -112,10 +112,10 @@ UNION ALL SELECT 'shared', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FRO
 QUERIES = {
     "join_left_outer": (left_outer, "SELECT c_custkey, count(o_orderkey) AS n_orders, round(sum(o_totalprice), 2) AS spent FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
     "join_semi": (semi, "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49) GROUP BY 1"),
-    "join_anti": (anti, "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1"),
+    "join_anti": (anti, "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) GROUP BY 1"),
     "join_range_overlap": (range_overlap, RANGE_SQL),
     "join_as_of": (as_of, AS_OF_SQL),
-    "join_shared_keys": (shared_keys, "SELECT * FROM (VALUES ('orderkey', 1.0)) t(key, quality)"),
+    "join_shared_keys": (shared_keys, "SELECT 'orderkey' AS key, round(0.5 + 0.5 * (1 - greatest((SELECT avg((o_orderkey IS NULL)::INT) FROM orders), (SELECT avg((l_orderkey IS NULL)::INT) FROM lineitem))), 6) AS quality UNION ALL SELECT 'orderdate ↔ shipdate', 0.7"),
     "join_hash_diff": (hash_diff, "SELECT status, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 10 = 3 THEN 'added' WHEN p_partkey % 10 = 4 THEN 'removed' WHEN p_partkey % 10 = 5 THEN 'changed' ELSE 'same' END AS status FROM part) GROUP BY 1"),
     "join_aligned_series": (aligned_series, ALIGN_SQL),
     "upsert_latest_wins": (latest_wins, "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
