@@ -72,13 +72,6 @@ def odds_ratio(df: DataFrame, exposed: Column, outcome: Column) -> DataFrame:
     return c.select(F.exp(log).alias("ratio"), F.exp(log - 1.959963984540054 * se).alias("low"), F.exp(log + 1.959963984540054 * se).alias("high"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
-    """The rows with q, the least over larger p of p * n / rank, at most 1. For the few p-values of a set of findings."""
-    up, down = Window.orderBy(p), Window.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)
-    ranked = df.withColumn("_r", F.max(F.row_number().over(up)).over(Window.partitionBy(p))).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(down))).drop("_r", "_n")
-
-
 def kaplan_meier(df: DataFrame, duration: str, event: Column, groups: list[str]) -> DataFrame:
     """time, at_risk, deaths and survival of each group at its times of death."""
     times = df.groupBy(*groups, F.col(duration).alias("time")).agg(F.count("*").alias("n"), F.count_if(event).alias("deaths"))

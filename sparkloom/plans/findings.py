@@ -64,20 +64,6 @@ def by_month(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy(F.coalesce(F.date_format("o_orderdate", "yyyy-MM"), F.lit("unknown")).alias("month")).agg(F.count("*").alias("n"))
 
 
-def granger(spark: SparkSession, d: str) -> DataFrame:
-    """How much yesterday's count adds to the day's value beyond yesterday's value, as the fall of R squared's rest."""
-    from sparkloom.operators import series, stats
-
-    days = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("v"), F.count("*").cast("double").alias("n"))
-    lags = series.lagged(days, ["event_type"], ["day"], "v", [1]).withColumnRenamed("lag1", "v1")
-    lags = series.lagged(lags, ["event_type"], ["day"], "n", [1]).withColumnRenamed("lag1", "n1").where("v1 IS NOT NULL")
-    own, both = stats.linear_regression(lags, "v", ["v1"])["r2"], stats.linear_regression(lags, "v", ["v1", "n1"])["r2"]
-    return spark.createDataFrame([(round(own, 6), both >= own - 1e-9)], "own_r2 double, adds boolean")
-
-
-GRANGER_SQL = "WITH days AS (SELECT event_type, ts::DATE AS day, round(sum(value), 4) AS v FROM events GROUP BY 1, 2), l AS (SELECT v, lag(v) OVER (PARTITION BY event_type ORDER BY day) AS v1 FROM days) SELECT round(regr_r2(v, v1), 6) AS own_r2, true AS adds FROM l WHERE v1 IS NOT NULL"
-
-
 def candidate_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Combinations of two columns by their coefficient of variation, the steadiest first."""
     l = table(spark, d, "lineitem")
@@ -96,6 +82,5 @@ QUERIES = {
     "decision_contracts": (decision, DECISION_SQL),
     "smoothed_rates": (smoothed_rates, RATES_SQL),
     "counts_by_month": (by_month, "SELECT coalesce(strftime(o_orderdate, '%Y-%m'), 'unknown') AS month, count(*) AS n FROM orders GROUP BY 1"),
-    "granger_lags": (granger, GRANGER_SQL),
     "candidate_invariants": (candidate_invariants, _INV),
 }

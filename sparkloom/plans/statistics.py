@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.operators import stats
+from sparkloom.functions import erfc_sql, normal_tail
+from sparkloom.operators import estimates, stats
 from sparkloom.sources import table
 
 
@@ -113,15 +114,16 @@ SELECT round(pow(sum(da - d * ra / r), 2) / sum(CASE WHEN r > 1 THEN d * ra / r
 
 
 def multiple_comparisons(spark: SparkSession, d: str) -> DataFrame:
-    """p-values of daily deviations, corrected for their number."""
+    """p-values of the days' departures from the mean number of events, corrected for their number."""
     days = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    p = days.select(F.col("day").cast("string").alias("day"), F.round(1.0 / (1.0 + F.col("n") % 97), 9).alias("p"))
-    return stats.benjamini_hochberg(p, "p").select("day", "p", F.round("q", 9).alias("q"))
+    w = days.agg(F.avg("n").alias("m"), F.stddev_samp("n").alias("s"))
+    p = days.join(F.broadcast(w)).select(F.col("day").cast("string").alias("day"), F.round(normal_tail((F.col("n") - F.col("m")) / F.col("s")), 9).alias("p"))
+    return estimates.corrected(p, "p").select("day", "p", F.round("q", 9).alias("q"))
 
 
-BH_SQL = """
-WITH p AS (SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, round(1.0::DOUBLE / (1 + count(*) % 97), 9) AS p FROM events GROUP BY 1),
-r AS (SELECT *, count(*) OVER (ORDER BY p) AS r, count(*) OVER () AS n FROM p)
+BH_SQL = f"""
+WITH c AS (SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1), z AS (SELECT day, abs((n - avg(n) OVER ()) / stddev_samp(n) OVER ()) AS z FROM c),
+p AS (SELECT day, round({erfc_sql("(z / sqrt(2))")}, 9) AS p FROM z), r AS (SELECT *, count(*) OVER (ORDER BY p) AS r, count(*) OVER () AS n FROM p)
 SELECT day, p, round(least(1.0, min(p * n / r) OVER (ORDER BY p DESC)), 9) AS q FROM r
 """
 
