@@ -236,15 +236,8 @@ def _named(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return first.where("node IS NOT NULL").unionByName(cold)
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable) and kept (whether it is the row's own) of each row."""
-    similarity = percent / 100
-    matches, least = threshold(POSTED, similarity), threshold(COUNTED, similarity)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = kept(texts.mapInArrow(_sign(size), "doc_id long, n long, k1 long, k2 long, posted binary, counted binary"))
-    real = signed.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("posted").alias("posted"), F.first("counted").alias("counted"), F.first("n").alias("n"))
-
+def _members(nodes: DataFrame, matches: int, least: int) -> DataFrame:
+    """node, component, k1 and n of the nodes that agree with another one on enough of their minima; the work behind it can be freed once it is written."""
     posted = nodes.select("node", "posted").mapInArrow(_post, "token long, node long")
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     frequent = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("pairs"))
@@ -252,18 +245,31 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     opened = frequent.select("node", F.explode(prefix).alias("p")).select("node", "p.df", "p.token")
     opened = _in_blocks(opened, F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)), ["token"])
     near = _grouped(opened.join(nodes.select("node", "counted"), "node"), ["token"], _posting(least))
+    return kept(components(near).join(nodes.select("node", "k1", "n"), "node"))
+
 
-    members = kept(components(near).join(nodes.select("node", "k1", "n"), "node"))
+def _confirmed(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links of a and b that join, in each cluster of members, all that links confirmed on full sets join."""
     large = members.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     owners = members.select(F.col("node").alias("id"), "k1")
     sets = texts.join(owners, texts["doc_id"] == owners["id"]).select("id", "text", "k1").mapInArrow(_sets(size), "node long, set binary")
     dealt = _in_blocks(members.join(large, "component"), F.col("blocks"), ["component"])
-    links = _grouped(dealt.join(sets, "node"), ["component"], _cluster(percent))
+    return kept(_grouped(dealt.join(sets, "node"), ["component"], _cluster(percent)))
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable) and kept (whether it is the row's own) of each row."""
+    similarity = percent / 100
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    signed = kept(texts.mapInArrow(_sign(size), "doc_id long, n long, k1 long, k2 long, posted binary, counted binary"))
+    real = signed.where("n > 0 AND doc_id IS NOT NULL")
+    nodes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("posted").alias("posted"), F.first("counted").alias("counted"), F.first("n").alias("n"))
+    links = _confirmed(texts, _members(nodes, threshold(POSTED, similarity), threshold(COUNTED, similarity)), size, percent)
 
     reps = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("times"))
     owned = _named(signed.select("doc_id", "n", "k1", "k2"), reps).withColumn("node", F.when(F.col("n") > 0, F.col("node")))
     several = owned.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a < b")
-    joined = components(kept(links).unionByName(several.select("a", F.explode("all").alias("b"))))
+    joined = components(links.unionByName(several.select("a", F.explode("all").alias("b"))))
     found = owned.join(joined, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
