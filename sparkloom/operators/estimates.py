@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import chi2_tail, normal_quantile, normal_tail
+from sparkloom.lineage import kept
 
 
 #: Rows that one task may well put in order.
@@ -280,7 +281,7 @@ def neighbours(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame
         others = base.select(F.col("key").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
         met = asked.join(others, ["cx", "cy"]).where("key <> other").withColumn("distance", F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2))
         rank = Window.partitionBy("key").orderBy("distance", "other")
-        near = met.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k)
+        near = kept(met.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k))
         edge = F.least(*[d for c in ("x", "y") for d in (F.col(c) - (cell(c) - 1) * side, (cell(c) + 2) * side - F.col(c))])
         served = near.where((F.col("r") == k)).where(F.col("distance") <= edge).select("key")
         last = side > 2 * largest
@@ -288,7 +289,7 @@ def neighbours(points: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame
         found = done if found is None else found.unionByName(done)
         if last:
             return found
-        waiting = waiting.join(served, "key", "left_anti").cache()
+        waiting = kept(waiting.join(served, "key", "left_anti"))
         if not waiting.head(1):
             return found
         side *= 2
