@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import cleaning, contracts, estimates, findings, forecasts, inference, joins, matching, models, patterns, preflight, sampling, series, statistics, streams
+from sparkloom.plans import cleaning, contracts, estimates, feeds, findings, forecasts, inference, joins, matching, models, patterns, preflight, sampling, series, statistics, streams
 
 FLAGSHIP = "profile_orders"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (cleaning, preflight, contracts, findings, inference, joins, matching, statistics, estimates, series, forecasts, patterns, models, sampling, streams):
+for _module in (cleaning, preflight, contracts, findings, inference, joins, matching, statistics, estimates, series, forecasts, patterns, models, sampling, feeds, streams):
     QUERIES |= {name: query for name, (query, _) in _module.QUERIES.items()}
     ORACLE_SQL |= {name: sql for name, (_, sql) in _module.QUERIES.items() if sql}

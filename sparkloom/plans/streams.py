@@ -60,9 +60,57 @@ def stream_rolling(spark: SparkSession, d: str) -> DataFrame:
     return found.select("user_id", "n", F.round("mean", 4).alias("mean"))
 
 
+def stream_aged(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's last twenty values of at most five days before the newest."""
+    found = _ended(streaming.rolling_window(_events(spark, d), "user_id", "long", "ts", "value", 20, 5 * 86400.0), "update", ["user_id"])
+    return found.select("user_id", "n", F.round("mean", 4).alias("mean"))
+
+
+AGED_SQL = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC) AS i, max(ts) OVER (PARTITION BY user_id) AS m FROM events) SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean FROM r WHERE i <= 20 AND epoch_us(ts) >= epoch_us(m) - 432000000000 GROUP BY 1"
+
+
+def _collected(stream: DataFrame) -> DataFrame:
+    """All rows that a stream has put out when all its input is read."""
+    spark, folder = stream.sparkSession, _shared(stream.sparkSession)
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    """The first event of each user, kind and day within the watermark."""
+    e = _events(spark, d).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return _collected(streaming.deduplicated(e, "ts", ["user_id", "event_type", "day"], "60 days").select("user_id", "event_type", "day"))
+
+
+def stream_contracts(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts evaluated on each event as it comes."""
+    found = _collected(streaming.contracts(_events(spark, d), {"large": "value > 150", "night_error": "event_type = 'error' AND hour(ts) < 6"}).select("event_id", F.explode("contracts").alias("contract")))
+    return found.groupBy("contract").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+def stream_findings(spark: SparkSession, d: str) -> DataFrame:
+    """An analysis run on each micro-batch: which kinds of findings are new."""
+    folder = _shared(spark)
+    streaming.incremental(_events(spark, d), lambda b: b.where("value > 150").groupBy("event_type").agg(F.count("*").alias("n")), folder, "event_type")
+    return spark.read.parquet(f"{folder}/events").select(F.col("event_type").alias("subject"), "event")
+
+
+def session_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of users that end after twelve silent hours."""
+    found = streaming.sessions(table(spark, d, "events"), "ts", "12 hours", "1 day", ["user_id"])
+    return found.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("largest"))
+
+
+SESSION_SQL = "WITH g AS (SELECT user_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 43200000000)::INT AS cut FROM events), s AS (SELECT user_id, sum(coalesce(cut, 0)) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS largest FROM c GROUP BY 1"
+
 WINDOW_SQL = "SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"
 
 QUERIES = {
+    "stream_aged": (stream_aged, AGED_SQL),
+    "stream_deduplicated": (stream_deduplicated, "SELECT DISTINCT user_id, event_type, strftime(ts::DATE, '%Y-%m-%d') AS day FROM events"),
+    "stream_contracts": (stream_contracts, "SELECT contract, count(*) AS n, min(event_id) AS first FROM (SELECT event_id, 'large' AS contract FROM events WHERE value > 150 UNION ALL SELECT event_id, 'night_error' FROM events WHERE event_type = 'error' AND hour(ts) < 6) GROUP BY 1"),
+    "stream_findings": (stream_findings, "SELECT event_type AS subject, 'new_finding' AS event FROM events WHERE value > 150 GROUP BY 1 UNION ALL SELECT count(*)::VARCHAR, 'window_advanced' FROM events"),
+    "session_windows": (session_windows, SESSION_SQL),
     "stream_tumbling": (stream_windows, WINDOW_SQL),
     "batch_tumbling": (batch_windows, WINDOW_SQL),
     "stream_rolling_last": (stream_rolling, "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS i FROM events) SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean FROM r WHERE i <= 20 GROUP BY 1"),

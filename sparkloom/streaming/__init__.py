@@ -32,3 +32,48 @@ def rolling_last(events: DataFrame, key: str, key_type: str, at: str, value: str
         yield pd.DataFrame({key: [k[0]], "n": [len(held)], "mean": [sum(held) / len(held)]})
 
     return events.select(key, at, value).groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, n long, mean double", "held array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def rolling_window(events: DataFrame, key: str, key_type: str, at: str, value: str, size: int, age: float) -> DataFrame:
+    """After each micro-batch, number and mean of each key's last `size` values that are at most `age` seconds older than its newest."""
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, held = (list(x) for x in state.get) if state.exists else ([], [])
+        for f in frames:
+            times += f["_s"].astype(float).tolist()
+            held += f[value].astype(float).tolist()
+        order = sorted(range(len(times)), key=lambda i: (times[i], held[i]))[-size:]
+        order = [i for i in order if times[i] >= max(times) - age]
+        state.update(([times[i] for i in order], [held[i] for i in order]))
+        yield pd.DataFrame({key: [k[0]], "n": [len(order)], "mean": [sum(held[i] for i in order) / len(order)]})
+
+    rows = events.select(key, (F.unix_micros(at) / 1e6).alias("_s"), value)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, n long, mean double", "times array<double>, held array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def contracts(events: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """The rows with the names of the rules (SQL predicates) that they satisfy; rows that satisfy none are left out."""
+    names = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()]))
+    return events.withColumn("contracts", names).where(F.size("contracts") > 0)
+
+
+def sessions(events: DataFrame, at: str, gap: str, lateness: str, keys: list[str]) -> DataFrame:
+    """Counts by session: a session ends when a key is silent for `gap`."""
+    w = F.session_window(at, gap)
+    return events.withWatermark(at, lateness).groupBy(w, *keys).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("starts"), F.col("session_window.end").alias("ends"), *keys, "n")
+
+
+def incremental(stream: DataFrame, analyse, folder: str, key: str) -> None:
+    """Runs analyse(batch) on each micro-batch and writes what its findings are against those so far: new_finding, repeated, and a window_advanced row for the batch."""
+    spark = stream.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        found = analyse(batch).withColumn("batch", F.lit(number).cast("long"))
+        before = spark.read.schema(found.schema).parquet(f"{folder}/findings").where(F.col("batch") < number).select(key).distinct() if number else found.select(key).limit(0)
+        known = before.withColumn("_k", F.lit(True))
+        told = found.join(known, key, "left").select(key, F.when(F.col("_k"), "repeated").otherwise("new_finding").alias("event"))
+        advanced = batch.agg(F.count("*").cast("string").alias(key)).withColumn("event", F.lit("window_advanced"))
+        told.select(F.col(key).cast("string"), "event").unionByName(advanced).write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
+        found.drop("batch").write.mode("overwrite").parquet(f"{folder}/findings/batch={number}")
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
