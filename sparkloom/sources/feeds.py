@@ -120,7 +120,7 @@ def chunks(docs: DataFrame, key: str, text: str, most: int = 4000) -> DataFrame:
 
     packed = F.aggregate(F.filter(parts, lambda p: p != ""), start, step, lambda s: F.filter(F.concat(s["done"], F.array(s["open"])), lambda c: c != ""))
     cut = docs.select(F.col(key), F.posexplode(packed).alias("n", "chunk"))
-    return cut.select(key, "n", F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), "chunk"), 256), 1, 16).alias("chunk_id"), "chunk")
+    return cut.select(key, "n", F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("n").cast("string"), "chunk"), 256), 1, 16).alias("chunk_id"), "chunk")
 
 
 def ingested(entries: DataFrame, known: DataFrame, key: str, valid: Column) -> tuple[DataFrame, DataFrame]:
