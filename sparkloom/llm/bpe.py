@@ -16,7 +16,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import pairwise
 from pathlib import Path
 from struct import pack
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .hashing import bounded
+
 #: The words, digits and other signs that the vocabulary's file asks for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for the standard library's classes, which agree on the characters that _OTHER leaves.
@@ -157,16 +159,6 @@ def _vocabulary(text: str) -> Vocabulary:
     return _loaded[text]
 
 
-def _bounded(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about `size` bytes of text each, one row at least."""
-    ends = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)])
-    a = 0
-    while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
-        yield a, b
-        a = b
-
-
 def _lists(found: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
@@ -183,9 +175,9 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     def run(batches):
         v = _vocabulary(text.value)
         for batch in batches:
-            for a, b in _bounded(batch, 1 << 21):
-                found = [v.encode(t or "") for t in batch.column(1).slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(found), *(c.slice(a, b - a) for c in batch.columns[2:])], ["doc_id", "ids", *carried])
+            for part in bounded(batch, 1, 1 << 21):
+                found = [v.encode(t or "") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(found), *part.columns[2:]], ["doc_id", "ids", *carried])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carried).mapInArrow(run, _with("doc_id long, ids array<int>", docs, carried))
 

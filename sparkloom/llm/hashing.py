@@ -6,7 +6,10 @@ shuffles the batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 A = np.uint64(0x9E3779B97F4A7C15)
 B = np.uint64(0xD6E8FEB86659FD93)
@@ -106,6 +109,16 @@ def words_of(texts: list[bytes], limit: int = 1 << 18) -> list[np.ndarray]:
     return out
 
 
+def bounded(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `size` bytes of text each, one row at least."""
+    ends = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)])
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def pack(x: np.ndarray, size: int) -> bytes:
     """The low `size` bytes of each value."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()

@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .hashing import A, B, C, join, mix, words_of
+from .hashing import A, B, C, bounded, join, mix, words_of
 from .storage import kept
 
-POSTED, COUNTED, BLOCK, BLOCK_SHINGLES, HOT = 64, 256, 4096, 1_000_000, 1000
+POSTED, COUNTED, BLOCK, BLOCK_SHINGLES, HOT, BATCH_BYTES = 64, 256, 4096, 1_000_000, 1000, 1 << 21
 _MULTIPLIER = (mix(np.arange(1, COUNTED + 1, dtype=np.uint64) * B) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _OFFSET = (mix(np.arange(1, COUNTED + 1, dtype=np.uint64) * C) >> np.uint64(32)).astype(np.uint32)
 
@@ -83,8 +83,7 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64(
 def _sign(size: int):
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for part in bounded(batch, 1, BATCH_BYTES):
                 rows = []
                 for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), size), strict=True):
                     m = signature(s)
@@ -200,8 +199,7 @@ def _sets(size: int):
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
+            for part in bounded(batch, 1, BATCH_BYTES):
                 rows = []
                 for node, k1, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1).to_pylist(), size), strict=True):
                     if _key(s, A) == k1:

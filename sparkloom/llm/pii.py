@@ -230,7 +230,7 @@ def pseudonym_of(m: Column, kind: Column, key: str) -> Column:
 
 
 def pseudonymised(docs: DataFrame, key: str = "corpus", text_col: str = "text", found_col: str | None = None) -> DataFrame:
-    """All rows and columns, with pseudonyms in the text; found_col adds an array of (kind, pseudonym) of what was replaced.
+    """All rows and columns, with pseudonyms in the text; found_col adds an array of (kind, pseudonym) of what was replaced, in place of a column of that name.
 
     The key is a parameter of the job; with another key the pseudonyms can't be linked.
     """
@@ -242,7 +242,7 @@ def pseudonymised(docs: DataFrame, key: str = "corpus", text_col: str = "text",
     pieces = F.split("t", ANY, -1)
     woven = F.array_join(F.flatten(F.zip_with(pieces, F.concat(F.transform("found", lambda x: x["now"]), F.array(F.lit(""))), lambda p, m: F.array(p, m))), "")
     row = row.withColumn("t", F.when(F.col("found").isNotNull(), woven).otherwise(F.col("t")))
-    columns = [F.col("t").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    columns = [F.col("t").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != found_col]
     if found_col:
         columns.append(F.coalesce(F.filter("found", lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind: string, now: string>>")).alias(found_col))
     return row.select(*columns)
