@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Source mixing adds block, slot and place, as rows
-have no order once they are written; the last stage carries them to the output.
+have no order once they are written; the last stage carries them to the output. Columns
+of the input that have these names give way to them.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their block, slot and place in the mix to the target weights."""
-    return mixing.mix(docs, TARGET_WEIGHTS).select("row.*", *mixing.ADDED)
+    columns = [f"row.`{c}`" for c in docs.columns if c not in mixing.ADDED]
+    return mixing.mix(docs, TARGET_WEIGHTS).select(*columns, *mixing.ADDED)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
