@@ -23,10 +23,11 @@ STEPS = ((1, "1s"), (60, "1min"), (300, "5min"), (900, "15min"), (3600, "1h"), (
 
 def numbered(df: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
     """pos (from 0 in the order) and total of each row: counts of ranges of the first order column are few, rows are numbered within them."""
-    first = order[0]
-    bounds = df.stat.approxQuantile(first, [i / parts for i in range(1, parts)], 0.01) if dict(df.dtypes)[first] in ("bigint", "int", "double") else []
-    part = reduce(lambda a, b: a + b, [(F.col(first) > b).cast("int") for b in sorted(set(bounds))], F.lit(0))
-    cut = df.withColumn("_part", part)
+    kind = dict(df.dtypes)[order[0]]
+    first = F.unix_seconds(F.col(order[0]).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(order[0]) if kind in ("bigint", "int", "double") else F.lit(0)
+    bounds = df.select(first.alias("o")).stat.approxQuantile("o", [i / parts for i in range(1, parts)], 0.01)
+    part = reduce(lambda a, b: a + b, [(first > b).cast("int") for b in sorted(set(bounds))], F.lit(0))
+    cut = df.withColumn("_part", F.coalesce(part, F.lit(0)))  # nulls come first
     sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
@@ -109,7 +110,8 @@ def type_violations(df: DataFrame, columns: list[str], key: str, dominance: floa
 def sampling(df: DataFrame, at: str, order: list[str], keys: list[str]) -> DataFrame:
     """Of each series: median, mean and largest gap in seconds, their coefficient of variation, gaps over ten medians, verdict and resampling step."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    gaps = df.withColumn("_gap", (F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))) / 1e6).where("_gap IS NOT NULL")
+    time = F.col(at).cast("timestamp")
+    gaps = df.withColumn("_gap", (F.unix_micros(time) - F.unix_micros(F.lag(time).over(w))) / 1e6).where("_gap IS NOT NULL")
     told = gaps.groupBy(*keys).agg(F.median("_gap").alias("median"), F.avg("_gap").alias("mean"), F.max("_gap").alias("largest"), F.stddev_pop("_gap").alias("_sd"))
     wide = gaps.join(told.select(*keys, "median"), keys).groupBy(*keys).agg(F.count_if(F.col("_gap") > 10 * F.col("median")).alias("n_wide"))
     cv = F.when(F.col("mean") > 0, F.col("_sd") / F.col("mean")).otherwise(0.0)

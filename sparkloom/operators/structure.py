@@ -27,7 +27,8 @@ def _filled(c: str) -> Column:
 def roles(df: DataFrame, order: str) -> DataFrame:
     """column, role and the figures it rests on: place by name, times and numbers by the share that reads so, ids by name or near uniqueness, the rest by length and distinct values."""
     numbers = set(numeric_columns(df))
-    rising = df.select(*[(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(c) for c in df.columns], F.col(order).alias("_o"))
+    at = F.unix_seconds(F.col(order).cast("timestamp")) if dict(df.dtypes)[order].startswith(("timestamp", "date")) else F.col(order)
+    rising = df.select(*[F.expr(f"try_cast(CAST(`{c}` AS STRING) AS DOUBLE)").alias(c) for c in df.columns], at.alias("_o"))
     part = F.expr("floor(_o / 100000)")
     steps = rising.withColumn("_p", part).select("_p", *[(F.col(c) >= F.lag(c).over(Window.partitionBy("_p").orderBy("_o"))).alias(c) for c in df.columns], *[F.col(c).alias(f"_{c}") for c in df.columns])
     ends = steps.groupBy("_p").agg(*[F.min(f"_{c}").alias(f"lo_{c}") for c in df.columns], *[F.max(f"_{c}").alias(f"hi_{c}") for c in df.columns], *[F.coalesce(F.bool_and(c), F.lit(True)).alias(c) for c in df.columns])
@@ -36,9 +37,9 @@ def roles(df: DataFrame, order: str) -> DataFrame:
     parts = []
     for c in df.columns:
         x, text = _filled(c), F.col(c).cast("string")
-        looks = bool(re.search(TIME_NAMES, c.lower()))
-        time = F.avg(F.coalesce(F.try_to_timestamp(text).isNotNull(), F.lit(False)).cast("int")) if looks and c not in numbers else F.lit(0.0)
-        number = F.lit(1.0) if c in numbers else F.avg(F.expr(f"try_cast(`{c}` AS DOUBLE) IS NOT NULL").cast("int"))
+        looks, timed = bool(re.search(TIME_NAMES, c.lower())), dict(df.dtypes)[c].startswith(("timestamp", "date"))
+        time = F.lit(1.0) if timed else F.avg(F.coalesce(F.try_to_timestamp(text).isNotNull(), F.lit(False)).cast("int")) if looks and c not in numbers else F.lit(0.0)
+        number = F.lit(1.0) if c in numbers else F.avg(F.expr(f"try_cast(CAST(`{c}` AS STRING) AS DOUBLE) IS NOT NULL").cast("int"))
         length = F.lit(0.0) if c in numbers else F.avg(F.length(text))
         parts.append(F.struct(F.lit(c).alias("column"), F.lit(c in numbers).alias("is_number"), F.count("*").alias("n"), F.count(x).alias("filled"), F.count_distinct(x).alias("n_distinct"), time.cast("double").alias("datetime_rate"), number.cast("double").alias("numeric_rate"), length.cast("double").alias("length"), F.lit(bool(monotonic[c])).alias("monotonic")))
     told = df.agg(F.array(*parts).alias("p")).select(F.inline("p"))

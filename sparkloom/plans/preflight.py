@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import preflight, structure
+from sparkloom.operators import gates, preflight, structure
 from sparkloom.sources import table
 
 _HOLES = {
@@ -251,7 +251,13 @@ s AS (SELECT count(*) AS c, min(least(a, n, r)) >= 0 AND stddev_pop(a + n + r) /
 l AS (SELECT ln(greatest(a, 1e-12)) AS a, ln(greatest(n, 1e-12)) AS n, ln(greatest(r, 1e-12)) AS r FROM w), m AS (SELECT *, (a + n + r) / 3 AS g FROM l)
 SELECT (SELECT c FROM s) AS n, (SELECT ok FROM s) AS is_compositional, round(avg(a - g), 6) AS "clr_A", round(avg(n - g), 6) AS "clr_N", round(avg(r - g), 6) AS "clr_R", round(avg((a - n) / sqrt(2)), 6) AS ilr_1, round(avg((a + n - 2 * r) / sqrt(6)), 6) AS ilr_2 FROM m"""
 
+def advanced_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the seventeen advanced steps a table of events is fit for, and why not."""
+    return gates.gated(table(spark, d, "events").drop("props"))
+
+
 QUERIES = {
+    "advanced_gates": (advanced_gates, None),
     "missingness_classes": (missingness_classes, f"WITH {_CLASSES} SELECT * FROM m"),
     "schema_violations": (schema_violations, f"WITH {_VIOLATIONS} SELECT * FROM vs"),
     "sampling_steps": (sampling_steps, f"WITH {_SAMPLING} SELECT * FROM sa"),
