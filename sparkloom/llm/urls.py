@@ -24,6 +24,8 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,17 +65,28 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
+def _spelled(text: Column, use: Callable[[Column], Column]) -> Column:
+    """use(characters), with the array of characters worked out once for a text."""
+    return F.get(F.transform(F.array(F.split(F.concat(F.lit("^"), text), "")), use), F.lit(0))
+
+
 def _runs(text: Column, longest: int) -> Column:
     """All runs of 1 to `longest` characters, spelled from the array of characters."""
-    chars = F.split(F.concat(F.lit("^"), text), "")
-    at = F.sequence(F.lit(1), F.size(chars))
-    return F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), i)), lambda n: F.array_join(F.slice(chars, i - n + 1, n), ""))))
+
+    def all_runs(chars):
+        at = F.sequence(F.lit(1), F.size(chars))
+        return F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), i)), lambda n: F.array_join(F.slice(chars, i - n + 1, n), ""))))
+
+    return _spelled(text, all_runs)
 
 
 def _ends(text: Column, longest: int) -> Column:
     """For each character, the up to `longest` characters that end with it."""
-    chars = F.split(F.concat(F.lit("^"), text), "")
-    return F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.array_join(F.slice(chars, F.greatest(F.lit(1), i - longest + 1), F.least(F.lit(longest), i)), ""))
+
+    def all_ends(chars):
+        return F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.array_join(F.slice(chars, F.greatest(F.lit(1), i - longest + 1), F.least(F.lit(longest), i)), ""))
+
+    return _spelled(text, all_ends)
 
 
 def fit(labelled: DataFrame, longest: int = 5, alpha: float = 0.5, alphabet: int = 64) -> DataFrame:
