@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .census import ANSWER, ANSWER_SQL, SLOTS_SQL, Census, dealt, rows_of
 from .hashing import join, pack, unpack, words_of
@@ -48,7 +49,8 @@ _OUT_SQL = "doc_id long, n_words long, n_removed long, spans array<struct<start:
 _EDGES = pa.schema([("range", pa.int32()), ("batch", pa.int32()), ("node", pa.binary()), ("next", pa.binary()), ("prev", pa.binary())])
 _EDGES_SQL = "range int, batch int, node binary, next binary, prev binary"
 _PATHS = pa.schema([("batch", pa.int32()), ("place", pa.int32()), ("words", pa.binary()), ("least", pa.int64())])
-_PATHS_SQL = "batch int, place int, words binary, least long"
+#: No column is null, so that no filter on nulls tells the two uses of the paths apart, and Spark works them out once.
+_PATHS_TYPE = T.StructType([T.StructField(n, t, False) for n, t in (("batch", T.IntegerType()), ("place", T.IntegerType()), ("words", T.BinaryType()), ("least", T.LongType()))])
 SEEN, OUT, IN = 1, 2, 4
 
 
@@ -194,7 +196,7 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, id_col: str = "doc_
     counted = batches.applyInArrow(count, SLOTS_SQL).groupBy("range").applyInArrow(lambda t: census.meet(t), ANSWER_SQL)
     degrees = batches.cogroup(counted.groupBy("batch")).applyInArrow(edges, _EDGES_SQL).groupBy("range").applyInArrow(_degrees, ANSWER_SQL)
     known = counted.unionByName(degrees)
-    paths = batches.cogroup(known.groupBy("batch")).applyInArrow(compacted, _PATHS_SQL).repartition("words")
+    paths = batches.cogroup(known.groupBy("batch")).applyInArrow(compacted, _PATHS_TYPE).repartition("words")
     # the source of each path: the batch and place of the one with the smallest id
     smallest = paths.groupBy("words").agg(F.min(F.struct("least", "batch", "place")).alias("source"))
     told = paths.join(smallest, "words").where("source.least < least AND (source.batch <> batch OR source.place <> place)")
