@@ -1,7 +1,7 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
 A document's set is its distinct word shingles. Documents with equal sets meet first
-and go on as one node, under their smallest id. Each node has a signature of COUNTED
+and go on as one node, named by a hash of the set. Each node has a signature of COUNTED
 minima. The first POSTED of them are posted: a node stands under each pair of
 coordinate and value. Two sets of the wanted similarity share MATCHES of the posted
 pairs, so of a node's pairs, rarest first, only the first POSTED - MATCHES + 1 need to
@@ -21,7 +21,8 @@ five standard deviations below what sets of the wanted similarity share on avera
 
 Null and empty texts have an empty set and are linked with nothing, as are rows with
 a null id (component_id null, kept). Texts with fewer words than a shingle are one
-shingle. Rows that share an id are one node of the graph. Other columns are left out.
+shingle. Rows that share an id but not a set link the nodes of all their sets, as an id
+is in one component. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -201,8 +202,8 @@ def _sets(size: int):
         for batch in batches:
             for part in bounded(batch, 1, BATCH_BYTES):
                 rows = []
-                for node, k1, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1).to_pylist(), size), strict=True):
-                    if _key(s, A) == k1:
+                for node, k1, k2, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), shingle_sets(part.column(1).to_pylist(), size), strict=True):
+                    if _key(s, A) == k1 and _key(s, C) == k2:
                         rows.append((node, s.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "set"])
 
@@ -225,17 +226,17 @@ def _grouped(rows: DataFrame, keys: list[str], pairs) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_by_group(tuple(keys), pairs), "a long, b long").distinct()
 
 
-def _named(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """The rows with the node of their set. Sets that more than a thousandth of the rows have, a thousand at most, are broadcast; they would each meet in one task."""
-    most = reps.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"] / HOT
-    hot, rest = (reps.where(c).select("k1", "k2", "node") for c in (F.col("times") > most, F.col("times") <= most))
-    first = rows.join(F.broadcast(hot), ["k1", "k2"], "left")
-    cold = first.where("node IS NULL").drop("node").join(rest.hint("merge"), ["k1", "k2"], "left")
-    return first.where("node IS NOT NULL").unionByName(cold)
+def _told(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows with the component of their set. Sets that more than a thousandth of the rows have, a thousand at most, are broadcast; they would each meet in one task."""
+    most = sets.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"] / HOT
+    hot, rest = (sets.where(c).select("node", "component") for c in (F.col("times") > most, F.col("times") <= most))
+    first = rows.join(F.broadcast(hot), "node", "left")
+    cold = first.where("component IS NULL").drop("component").join(rest.hint("merge"), "node", "left")
+    return first.where("component IS NOT NULL").unionByName(cold)
 
 
 def _members(nodes: DataFrame, matches: int, least: int) -> DataFrame:
-    """node, component, k1 and n of the nodes that agree with another one on enough of their minima; the work behind it can be freed once it is written."""
+    """node, component, first (an id that has the set), k1, k2 and n of the nodes that agree with another one on enough of their minima; the work behind it can be freed once it is written."""
     posted = nodes.select("node", "posted").mapInArrow(_post, "token long, node long")
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     frequent = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("pairs"))
@@ -243,14 +244,14 @@ def _members(nodes: DataFrame, matches: int, least: int) -> DataFrame:
     opened = frequent.select("node", F.explode(prefix).alias("p")).select("node", "p.df", "p.token")
     opened = _in_blocks(opened, F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)), ["token"])
     near = _grouped(opened.join(nodes.select("node", "counted"), "node"), ["token"], _posting(least))
-    return kept(components(near).join(nodes.select("node", "k1", "n"), "node"))
+    return kept(components(near).join(nodes.select("node", "first", "k1", "k2", "n"), "node"))
 
 
 def _confirmed(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """Links of a and b that join, in each cluster of members, all that links confirmed on full sets join."""
     large = members.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    owners = members.select(F.col("node").alias("id"), "k1")
-    sets = texts.join(owners, texts["doc_id"] == owners["id"]).select("id", "text", "k1").mapInArrow(_sets(size), "node long, set binary")
+    owners = members.select("node", "first", "k1", "k2")
+    sets = texts.join(owners, texts["doc_id"] == owners["first"]).select("node", "text", "k1", "k2").mapInArrow(_sets(size), "node long, set binary")
     dealt = _in_blocks(members.join(large, "component"), F.col("blocks"), ["component"])
     return kept(_grouped(dealt.join(sets, "node"), ["component"], _cluster(percent)))
 
@@ -260,16 +261,19 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, id_col: s
     similarity = percent / 100
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = kept(texts.mapInArrow(_sign(size), "doc_id long, n long, k1 long, k2 long, posted binary, counted binary"))
+    signed = signed.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("k1", "k2")))
     real = signed.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("posted").alias("posted"), F.first("counted").alias("counted"), F.first("n").alias("n"))
+    nodes = real.groupBy("node", "k1", "k2").agg(F.min("doc_id").alias("first"), F.first("posted").alias("posted"), F.first("counted").alias("counted"), F.first("n").alias("n"))
     links = _confirmed(texts, _members(nodes, threshold(POSTED, similarity), threshold(COUNTED, similarity)), size, percent)
 
-    reps = real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("times"))
-    owned = _named(signed.select("doc_id", "n", "k1", "k2"), reps).withColumn("node", F.when(F.col("n") > 0, F.col("node")))
-    several = owned.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a < b")
-    joined = components(links.unionByName(several.select("a", F.explode("all").alias("b"))))
-    found = owned.join(joined, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    several = real.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    same_id = real.select("doc_id", F.col("node").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct()
+    joined = components(links.unionByName(same_id)).withColumnRenamed("component", "root")
+    sets = real.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")).join(joined, "node", "left")
+    least = sets.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component"))
+    sets = sets.join(least, "root", "left").select("node", "times", F.coalesce("component", "least").alias("component"))
+    found = _told(signed.select("doc_id", "n", "node"), sets)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

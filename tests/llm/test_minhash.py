@@ -51,6 +51,16 @@ def test_matches_brute_force(spark, size, percent):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == brute(rows, size, percent)
 
 
+def test_ids_with_several_texts(spark):
+    """A text that is near either text of an id is in its component."""
+    rng = random.Random(11)
+    a, b = (" ".join(rng.choice("abcdefghijklmnop") + str(rng.randint(0, 99)) for _ in range(200)) for _ in range(2))
+    rows = [(5, a), (5, b), (7, b + " more"), (9, a + " more"), (5, "else"), (11, "else"), (3, b + " other"), (20, "apart")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == brute(rows, 3, 85)
+    assert {r.component_id for r in got} == {3, 20}
+
+
 def test_blocks_of_large_groups_agree(spark, monkeypatch):
     """A family that is dealt out over pairs of blocks gives the same components."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
