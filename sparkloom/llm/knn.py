@@ -20,8 +20,8 @@ vectors point in random directions of many dimensions, no bound on cells can lea
 out; where they lie in clusters, most cells are.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows
-without an id. Rows that share an id count as one, the least vector. Vectors of
-different lengths are never compared; empty ones score 0 among themselves. Ties go to
+without an id. Rows that share an id are each a candidate and each a query, which finds none
+of them; a query row gets k rows of its own. Vectors of different lengths are never compared; empty ones score 0 among themselves. Ties go to
 the smaller id. Components are cut to 64 bits, and a score beyond 64 bits wraps.
 """
 
@@ -69,9 +69,9 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 #: Cells, beside those of the pivots, for vectors of a length that no pivot has.
 REST = 16
-_DEALT = pa.schema([("group", pa.int32()), ("kind", pa.int32()), ("cell", pa.int32()), ("id", pa.int64()), ("v", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32()))])
-_DEALT_SQL = "group int, kind int, cell int, id long, v array<bigint>, cells array<int>"
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_DEALT = pa.schema([("group", pa.int32()), ("kind", pa.int32()), ("cell", pa.int32()), ("id", pa.int64()), ("v", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32())), ("asked", pa.int64())])
+_DEALT_SQL = "group int, kind int, cell int, id long, v array<bigint>, cells array<int>, asked long"
+_FOUND = pa.schema([("asked", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 class Cells:
@@ -153,7 +153,7 @@ def _solver(k: int):
                 continue
             x, ids, cell = held[dim]
             q, own = _matrix(asked.column(4), dim), asked.column(3).to_numpy()
-            wanted = asked.column(5)
+            wanted, names = asked.column(5), asked.column(6).to_numpy()
             for a in range(0, len(q), 128):
                 scores = _scores(q[a : a + 128], x)
                 for j, s in enumerate(scores, a):
@@ -163,7 +163,7 @@ def _solver(k: int):
                         top = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
                         s, i = s[top], i[top]
                     order = np.lexsort((i, -s))[:k]
-                    found.append((np.full(len(order), own[j]), i[order], s[order]))
+                    found.append((np.full(len(order), names[j]), i[order], s[order]))
         return found
 
     def run(batches):
@@ -192,10 +192,11 @@ def _solver(k: int):
 
 def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 1024, block_rows: int = 20_000) -> DataFrame:
     """query_id, rank (from 1), vec_id and score. data and queries: vec_id long, v array<long>; a query never finds its own id."""
-    rows = data.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = queries.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = data.where("vec_id IS NOT NULL AND v IS NOT NULL").select("vec_id", "v")
+    # equal queries are answered once
+    asked = queries.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id", "v").agg(F.count("*").cast("int").alias("times")).select("vec_id", "v", F.xxhash64("vec_id", "v").alias("asked"), "times")
     wanted = min(pivots, math.isqrt(rows.count()) + 1)
-    cells = Cells([np.array(r["v"], np.int64) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()])
+    cells = Cells([np.array(r["v"], np.int64) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(wanted).collect()])
 
     def celled(batches):
         for batch in batches:
@@ -213,7 +214,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 1024, b
             cell, ids = batch.column(0).to_numpy(), batch.column(1)
             group = cells.first[cell] + ids.to_numpy() % cells.blocks[cell]
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(np.zeros(n), pa.int32()), batch.column(0), ids, batch.column(2), pa.nulls(n, pa.list_(pa.int32()))], schema=_DEALT)
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(np.zeros(n), pa.int32()), batch.column(0), ids, batch.column(2), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.int64())], schema=_DEALT)
 
     def routed(home: bool):
         def run(batches):
@@ -224,7 +225,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 1024, b
                     if home:
                         i, cell = np.arange(len(q)), own
                     else:
-                        i, cell = cells.needed(q, part.column(2).to_numpy(zero_copy_only=False).astype(np.float64))
+                        i, cell = cells.needed(q, part.column(3).to_numpy(zero_copy_only=False).astype(np.float64))
                         i, cell = i[cell != own[i]], cell[cell != own[i]]
                     times = cells.blocks[cell]
                     group = np.repeat(cells.first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -238,29 +239,32 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 1024, b
                         at, offsets = first[a : a + step], ends[a : a + step + 1]
                         sent = part.take(pa.array(i[at]))
                         lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(cell[offsets[0] : offsets[-1]], pa.int32()))
-                        yield pa.RecordBatch.from_arrays([pa.array(group[at], pa.int32()), pa.array(np.ones(len(at)), pa.int32()), pa.array(np.full(len(at), -1), pa.int32()), sent.column(0), sent.column(1), lists], schema=_DEALT)
+                        yield pa.RecordBatch.from_arrays([pa.array(group[at], pa.int32()), pa.array(np.ones(len(at)), pa.int32()), pa.array(np.full(len(at), -1), pa.int32()), sent.column(0), sent.column(1), lists, sent.column(2)], schema=_DEALT)
 
         return run
 
     def solved(sent: DataFrame) -> DataFrame:
         both = placed.mapInArrow(grouped, _DEALT_SQL).unionByName(sent)
-        return both.repartition("group").sortWithinPartitions("group", "kind").mapInArrow(_solver(k), "query_id long, vec_id long, score long")
+        return both.repartition("group").sortWithinPartitions("group", "kind").mapInArrow(_solver(k), "asked long, vec_id long, score long")
 
-    near = kept(solved(asked.mapInArrow(routed(True), _DEALT_SQL)))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    bound = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
-    rest = asked.join(bound, "vec_id", "left").select("vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    sent = asked.select("vec_id", "v", "asked")
+    near = kept(solved(sent.mapInArrow(routed(True), _DEALT_SQL)))
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    bound = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("asked", F.col("score").cast("double").alias("least"))
+    rest = sent.join(bound, "asked", "left").select("vec_id", "v", "asked", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
     found = near.unionByName(solved(rest.mapInArrow(routed(False), _DEALT_SQL)))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    told = asked.select("asked", F.col("vec_id").alias("query_id"), F.explode(F.array_repeat(F.lit(True), F.col("times"))).alias("once"))
+    return best.join(told, "asked").select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """

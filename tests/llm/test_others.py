@@ -72,6 +72,19 @@ def test_top_k_with_ties_nulls_and_lengths(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Each row is a candidate, and each row of a query's id a query."""
+    rows = [(0, [1, 0]), (1, [5, 0]), (1, [3, 0]), (2, [4, 0]), (1, [5, 0]), (3, [0, 9]), (50, [0, 1]), (50, [1, 0]), (100, [2, 1]), (100, [2, 1])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<bigint>")
+    got = Counter(map(tuple, knn.top_k(df, df.where("vec_id % 50 = 0"), k=3, pivots=3, block_rows=2).collect()))
+    want = Counter()
+    for q, v in (r for r in rows if r[0] % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in rows if i != q)[:3]
+        want.update((q, n, i, -s) for n, (s, i) in enumerate(best, 1))
+    assert got == want
+    assert {(n, i, s) for q, n, i, s in got if q == 0} == {(1, 1, 5), (2, 1, 5), (3, 2, 4)}
+
+
 def test_bounds_leave_out_far_clusters():
     """Of clustered vectors most pairs of query and cell are left out, and no cell that holds one of the best."""
     import numpy as np
