@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Documents of a source are put in a fixed pseudo-random order (by the MD5 of their
-id) and cut into blocks of `block` documents. Weights are whole units of a period.
+id) and cut into blocks of `block` documents. Weights are whole units of a period, exactly: fractions of denominators up to a million (8,
+6, 4, 4, 1 and 2 units for the weights 4, 3, 2, 2, 0.5 and 1) on their common denominator.
 A source of weight w releases its i-th block at floor((i - 1) / w) and must have run
 it by ceil(i / w); each slot runs the released block of the earliest deadline, ties
 to the first source by name. So at any slot each source has had its weight's share
@@ -11,8 +12,8 @@ join on (source, place in the period): no step runs over all blocks one by one.
 
 Weights are the caller's: a number for each source, `default` for those not named. A
 weight of 0 (or less, or no number) means none: rows of such a source are returned with
-null block, slot and place, and `mixed` leaves them out. Without any weights a source's
-target is its number of rows to the power `temper`.
+null block, slot and place, and `mixed` leaves them out. Without any weights the targets are
+the sources' numbers of rows to the power `temper`, rounded to parts of `slots`, one at least.
 
 The mix holds to the target as long as every source has blocks left: up to the slot
 `balanced` says. A source whose blocks are used up leaves its slots empty, and the
@@ -21,8 +22,9 @@ others go on in order, so no row is repeated or lost. Null sources are one sourc
 counted within 16^digits parts by the first digits of the hash, so a source with a third
 of all rows is spread over many tasks.
 
-The period has about `slots` slots, or one for each source if there are more sources;
-making it takes time in proportion to slots times sources and looks at no document.
+Making a period takes time in proportion to its slots times sources and looks at no
+document. Given weights that only fit a period of more than LONGEST slots are rounded to parts
+of LONGEST, which is less than a block in LONGEST slots; the rounded ones are the targets then.
 
 Only DataFrame functions are used.
 """
@@ -31,26 +33,43 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import kept
+
+#: Slots of a period, and of a slice of it.
+LONGEST, SLICE = 200_000, 1000
 #: Columns that are added; those of the input that have such a name are kept out of the way.
 ADDED = ("block", "slot", "place")
 
 
+def whole(weights: dict[str, float], default: float) -> tuple[dict[str, int], int]:
+    """The weights and the default as whole numbers of the same proportions; 0 for none."""
+    exact = {k: Fraction(str(float(w))).limit_denominator(1_000_000) if 0 < w < math.inf else Fraction(0) for k, w in [*weights.items(), (None, default)]}
+    unit = math.lcm(*[x.denominator for x in exact.values()])
+    parts = {k: int(x * unit) for k, x in exact.items()}
+    # beyond 2^40 all are rounded later on
+    shared = max(math.gcd(*parts.values()), -(-max(parts.values()) >> 40), 1)
+    return {k: max(1, round(n / shared)) if n else 0 for k, n in parts.items() if k is not None}, max(1, round(parts[None] / shared)) if parts[None] else 0
+
+
 def units(docs: DataFrame, weights: dict[str, float] | None, slots: int, temper: float, source_col: str, default: float = 1.0) -> DataFrame:
-    """source and units: its share of about `slots`, one at least; sources of no weight are left out."""
+    """source and units: its whole share of the period, one at least; sources of no weight are left out."""
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
-        power = F.pow(F.col("n").cast("double"), F.lit(temper))
+        power, longest = F.round(F.pow(F.col("n").cast("double"), F.lit(temper)), 9), slots
     else:
-        given = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]) if weights else F.lit(None).cast("map<string,double>")
-        power = F.coalesce(F.try_element_at(given, F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(float(default)))
-    sums = F.sum("power").over(Window.partitionBy())
-    weighed = sizes.withColumn("power", F.round(power, 9)).where("power > 0 AND power < double('infinity')")
-    return weighed.select("source", F.greatest(F.lit(1), F.round(F.col("power") * slots / sums).cast("int")).alias("units"))
+        parts, rest = whole(weights, default)
+        given = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), F.lit(v).cast("long"))]) if parts else F.lit(None).cast("map<string,long>")
+        power, longest = F.coalesce(F.try_element_at(given, F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(rest).cast("long")), LONGEST
+    weighed = sizes.withColumn("power", power).where("power > 0").withColumn("total", F.sum("power").over(Window.partitionBy()))
+    rounded = F.greatest(F.lit(1), F.round(F.col("power") * longest / F.col("total")).cast("int"))
+    exact = F.lit(weights is not None) & (F.col("total") <= longest)
+    return weighed.select("source", F.when(exact, F.col("power").cast("int")).otherwise(rounded).alias("units"))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -62,7 +81,7 @@ def schedule(parts: DataFrame) -> DataFrame:
     """One period: source, turn (of the source's blocks in the period), start (slot), units, period."""
     one = parts.agg(F.sort_array(F.collect_list(F.struct("source", "units"))).alias("s"))
     one = one.select("s", F.aggregate("s", F.lit(0), lambda n, x: n + x["units"]).alias("period"))
-    empty = F.struct(F.transform("s", lambda _: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("ran"))
+    none, last = F.array().cast("array<int>"), F.col("period") - 1
 
     def step(state, slot):
         def job(x, k):
@@ -75,7 +94,14 @@ def schedule(parts: DataFrame) -> DataFrame:
 
         return _let(F.array_min(F.transform("s", job)), ran)
 
-    ran = F.when(F.col("period") > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("period") - 1, F.lit(0))), empty, step, lambda x: x["ran"]))
+    def slice_(state, j):
+        begin = F.struct(state["done"].alias("done"), none.alias("ran"))
+        ran = F.aggregate(F.sequence(j * SLICE, F.least((j + 1) * SLICE - 1, last)), begin, step)
+        return _let(ran, lambda r: F.struct(r["done"].alias("done"), F.concat(state["ran"], F.array(r["ran"])).alias("ran")))
+
+    # slice after slice, so that what has run isn't copied for each slot
+    start = F.struct(F.transform("s", lambda _: F.lit(0)).alias("done"), F.array().cast("array<array<int>>").alias("ran"))
+    ran = F.when(F.col("period") > 0, F.aggregate(F.sequence(F.lit(0), F.floor(F.greatest(last, F.lit(0)) / SLICE).cast("int")), start, slice_, lambda x: F.flatten(x["ran"])))
     slots = one.select("s", "period", F.posexplode(ran).alias("start", "k"))
     turn = F.row_number().over(Window.partitionBy("k").orderBy("start")) - 1
     return slots.select(F.get("s", F.col("k"))["source"].alias("source"), turn.alias("turn"), "start", F.get("s", F.col("k"))["units"].alias("units"), "period")
@@ -86,7 +112,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 3
     total = docs.count()
     digits = max(1, math.ceil(math.log(max(total, 1) / 2000, 16)))
     parts = units(docs, weights, slots, temper, source_col, default)
-    table = schedule(parts)
+    table = kept(schedule(parts))
+    few = table.count() <= 2 * LONGEST
     h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     # a key that is never null, so that numbering and joining share one partitioning of the rows
     named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
@@ -102,7 +129,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 3
     rows = rows.withColumn("block", F.floor(F.col("number") / block)).withColumn("place", F.col("number") % block)
     rows = rows.withColumn("turn", (F.col("block") % F.col("units")).cast("int")).withColumn("round", F.floor(F.col("block") / F.col("units")))
     weighed = F.col("start").isNotNull()
-    return rows.join(table.select("key", "turn", "start"), ["key", "turn"], "left").select("row", "source", *[F.when(weighed, c).alias(n) for n, c in (("block", F.col("block")), ("slot", F.col("round") * F.col("period") + F.col("start")), ("place", F.col("place")))])
+    starts = table.select("key", "turn", "start")
+    return rows.join(F.broadcast(starts) if few else starts, ["key", "turn"], "left").select("row", "source", *[F.when(weighed, c).alias(n) for n, c in (("block", F.col("block")), ("slot", F.col("round") * F.col("period") + F.col("start")), ("place", F.col("place")))])
 
 
 def balanced(placed: DataFrame) -> DataFrame:

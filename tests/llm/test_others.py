@@ -125,16 +125,17 @@ def test_schedule_is_fair(spark):
         assert all(abs(Fraction(slot * u, period) - ran[s]) < 1 for s, u in units)
 
 
-def plain_mix(rows, weights, slots, block, default=1.0):
+def plain_mix(rows, weights, block, default=1.0):
     """Block, slot and place of each (id, source), by plain loops."""
     import hashlib
 
     by_source: dict[str, list] = {}
     for i, source in rows:
         by_source.setdefault(source, []).append((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), i))
-    power = {s: round(weights.get("" if s is None else s, default), 9) for s in by_source}
-    power = {s: x for s, x in power.items() if x > 0}
-    units = {s: max(1, math.floor(power[s] * slots / sum(power.values()) + 0.5)) for s in sorted(power, key=lambda s: (s is not None, s))}
+    every = [Fraction(str(x)) for x in [*weights.values(), default]]
+    unit = Fraction(math.gcd(*[x.numerator * math.lcm(*[y.denominator for y in every]) // x.denominator for x in every]), math.lcm(*[y.denominator for y in every]))
+    power = {s: Fraction(str(weights.get("" if s is None else s, default))) for s in by_source}
+    units = {s: int(power[s] / unit) for s in sorted(power, key=lambda s: (s is not None, s)) if power[s] > 0}
     ran = edf([((s is not None, s), u) for s, u in units.items()])
     starts = {s: [slot for slot, x in enumerate(ran) if x == (s is not None, s)] for s in units}
     out = {}
@@ -149,14 +150,40 @@ def test_mix_holds_to_its_weights(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(900)]
     weights = {"a": 1.0, "b": 3.0, "c": 0.0, "": 0.5}
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=4, slots=30, default=2.0)
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=4, default=2.0)
     placed = got.select("row.doc_id", "source", "block", "slot", "place").collect()
-    assert {r.doc_id: (r.block, r.slot, r.place) for r in placed} == plain_mix(rows, weights, 30, 4, 2.0)
+    assert {r.doc_id: (r.block, r.slot, r.place) for r in placed} == plain_mix(rows, weights, 4, 2.0)
     assert all((r.slot is None) == (r.source == "c") for r in placed)
     until = mixing.balanced(got).first().until
     for slot in range(1, until + 1):
         ran = Counter(r.source for r in placed if r.slot is not None and r.slot < slot and r.place == 0)
-        assert all(abs(ran[s] - Fraction(slot * units, 30)) < 1 for s, units in (("a", 5), ("b", 14), ("d", 9), (None, 2)))
+        assert all(abs(ran[s] - Fraction(slot * units, 13)) < 1 for s, units in (("a", 2), ("b", 6), ("d", 4), (None, 1)))
+
+
+@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 1 / 3, "c": 0.0004}, {"a": 4.0, "b": 3.0, "c": 0.5, "d": 1 / 7}, {"a": 0.123, "b": 0.877, "c": 0.77, "d": 0.01}])
+def test_weights_are_held_exactly_over_periods(spark, weights):
+    """Less than a block off the weights as given, at every slot of more than one period."""
+    exact = {s: Fraction(str(w)).limit_denominator(1_000_000) for s, w in weights.items()}
+    total = sum(exact.values())
+    table = mixing.schedule(mixing.units(spark.createDataFrame([(s,) for s in exact], "source string"), weights, 1000, 0.7, "source"))
+    ran = [r.source for r in table.orderBy("start").collect()]
+    done = Counter()
+    for slot, s in enumerate(ran + ran[: len(ran) // 3], 1):
+        done[s] += 1
+        assert all(abs(slot * w / total - done[x]) < 1 for x, w in exact.items())
+    assert len(ran) > 100
+
+
+def test_queries_weights_are_held_beyond_a_period(spark):
+    """The query's own weights on twenty sources, over all slots of 60,000 rows in blocks of one."""
+    exact = {f"src{i}": Fraction(str(llm_queries.TARGET_WEIGHTS.get(f"src{i}", 1.0))) for i in range(20)}
+    rows = spark.range(60_000).selectExpr("id AS doc_id", "concat('src', id % 20) AS source")
+    placed = mixing.mix(rows, llm_queries.TARGET_WEIGHTS, block=1)
+    until, done = mixing.balanced(placed).first().until, Counter()
+    for r in placed.where(F.col("slot") <= until).orderBy("slot").select("slot", "source").collect():
+        done[r.source] += 1
+        assert all(abs((r.slot + 1) * w / sum(exact.values()) - done[x]) < 1 for x, w in exact.items())
+    assert until > 15_000
 
 
 def test_many_sources_are_scheduled_in_time(spark):
@@ -317,7 +344,7 @@ def test_pipeline_rows(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     texts = [tuple(r) for r in pii.pseudonymised(minhash.deduplicated(quality.accepted(docs), size=5, percent=80)).select("doc_id", "source", "text").collect()]
     library = Tokenizer.from_file(llm_queries.vocabulary_path())
-    placed, want = plain_mix([(i, s) for i, s, _ in texts], llm_queries.TARGET_WEIGHTS, 1000, 32), Counter()
+    placed, want = plain_mix([(i, s) for i, s, _ in texts], llm_queries.TARGET_WEIGHTS, 32), Counter()
     for i, _, text in texts:
         ids = library.encode(text or "", add_special_tokens=False).ids
         told = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
