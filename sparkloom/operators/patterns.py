@@ -23,7 +23,7 @@ def each_series(df: DataFrame, keys: list[str], order: list[str], values: list[s
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > LONGEST:
-            raise ValueError(f"a series has {len(pdf)} values, more than {LONGEST}: bucket or thin it first")
+            raise ValueError(f"a series has {len(pdf)} values, more than {LONGEST}: bucket or thin it first, or cut it by operators.slices")
         pdf = pdf.sort_values(order)
         out = kernel(*[pdf[v].to_numpy(float) for v in values])
         for k in reversed(keys):

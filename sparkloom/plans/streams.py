@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from sparkloom import streaming
 from sparkloom.packaging import shipped
 from sparkloom.sources import table
+from sparkloom.streaming import timed
 
 
 def _shared(spark: SparkSession) -> str:
@@ -56,17 +57,80 @@ def batch_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_rolling(spark: SparkSession, d: str) -> DataFrame:
-    found = _ended(streaming.rolling_last(_events(spark, d), "user_id", "long", "ts", "value", 20), "update", ["user_id"])
-    return found.select("user_id", "n", F.round("mean", 4).alias("mean"))
+    """Each user's last twenty values."""
+    found = _ended(timed.rolling(_events(spark, d), "user_id", "ts", "value", 20), "update", ["user_id"])
+    return found.select("user_id", "n", F.round("total", 2).alias("total"))
 
 
 def stream_aged(spark: SparkSession, d: str) -> DataFrame:
     """Each user's last twenty values of at most five days before the newest."""
-    found = _ended(streaming.rolling_window(_events(spark, d), "user_id", "long", "ts", "value", 20, 5 * 86400.0), "update", ["user_id"])
-    return found.select("user_id", "n", F.round("mean", 4).alias("mean"))
+    found = _ended(timed.rolling(_events(spark, d), "user_id", "ts", "value", 20, 5 * 86400.0), "update", ["user_id"])
+    return found.select("user_id", "n", F.round("total", 2).alias("total"))
+
+
+_RANKED = """
+WITH r AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC) AS i, max(ts) OVER (PARTITION BY user_id) AS m
+  FROM events)
+SELECT user_id, count(*) AS n, round(sum(value), 2) AS total
+FROM r WHERE i <= 20"""
+ROLLING_SQL = f"{_RANKED} GROUP BY 1"
+AGED_SQL = f"{_RANKED} AND epoch_us(ts) >= epoch_us(m) - 432000000000 GROUP BY 1"
+
+
+def stream_limited(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a value over 100 fire, twice a day and user at most, once the watermark of an hour has passed them."""
+    found = _collected(timed.limited(_events(spark, d), "user_id", "ts", "event_id", "value > 100", 86400, 2, "1 hour"))
+    return found.select("user_id", F.col("id").alias("event_id"), "outcome")
+
+
+LIMITED_SQL = """
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, epoch_us(ts) AS t, value > 100 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
+  FROM events
+  WHERE epoch_us(ts) < 1000 * ((SELECT max(epoch_us(ts)) FROM events) // 1000 - 3600000)),
+r AS (
+  SELECT user_id, event_id, i, ok AS fired, ok, CASE WHEN ok THEN [t] ELSE [] END AS recent FROM e WHERE i = 1
+  UNION ALL
+  SELECT user_id, event_id, i, fired, ok, CASE WHEN fired THEN list_append(recent, t) ELSE recent END
+  FROM (
+    SELECT s.*, ok AND len(recent) < 2 AS fired
+    FROM (
+      SELECT e.user_id, e.event_id, e.i, e.t, e.ok, list_filter(r.recent, lambda x: x > e.t - 86400000000) AS recent
+      FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) s) q)
+SELECT user_id, event_id, CASE WHEN NOT ok THEN 'not_satisfied' WHEN fired THEN 'fired' ELSE 'rate_limited' END AS outcome FROM r
+"""
+
+
+def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """Users and kinds that weren't met before, by a seen-set of 5,000."""
+    events = _events(spark, d).withColumn("who", F.concat_ws(":", "user_id", "event_type"))
+    return _collected(timed.first_seen(events, "who", "ts", 5000)).select("identity", "at")
+
+
+def stream_regimes(spark: SparkSession, d: str) -> DataFrame:
+    """The last 500 events analysed after each batch: kinds with a mean over 70 are findings, the commonest kind is the regime."""
+    folder = _shared(spark)
+
+    def analyse(window: DataFrame) -> DataFrame:
+        kinds = window.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+        most = kinds.agg(F.max_by("event_type", F.struct("n", "event_type")).alias("regime"))
+        return kinds.crossJoin(most).where("mean > 70 OR event_type = regime").select(F.col("event_type").alias("identity"), F.concat(F.lit("kind "), "event_type").alias("title"), F.expr("IF(event_type = regime, regime, NULL)").alias("regime"))
+
+    timed.rolling_analysis(_events(spark, d), analyse, folder, ["ts", "event_id"], 500)
+    return spark.read.parquet(f"{folder}/events").select("kind", "subject", "size")
 
 
-AGED_SQL = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC) AS i, max(ts) OVER (PARTITION BY user_id) AS m FROM events) SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean FROM r WHERE i <= 20 AND epoch_us(ts) >= epoch_us(m) - 432000000000 GROUP BY 1"
+REGIMES_SQL = """
+WITH w AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500),
+k AS (SELECT event_type, count(*) AS n, avg(value) AS mean FROM w GROUP BY 1),
+m AS (SELECT event_type AS regime FROM k ORDER BY n DESC, event_type DESC LIMIT 1)
+SELECT 'window_advanced' AS kind, NULL AS subject, count(*) AS size FROM w
+UNION ALL
+SELECT 'new_finding', 'kind ' || event_type, NULL FROM k, m WHERE mean > 70 OR event_type = regime
+UNION ALL
+SELECT 'regime_changed', 'kind ' || regime, NULL FROM m
+"""
 
 
 def _collected(stream: DataFrame) -> DataFrame:
@@ -113,5 +177,8 @@ QUERIES = {
     "session_windows": (session_windows, SESSION_SQL),
     "stream_tumbling": (stream_windows, WINDOW_SQL),
     "batch_tumbling": (batch_windows, WINDOW_SQL),
-    "stream_rolling_last": (stream_rolling, "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS i FROM events) SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean FROM r WHERE i <= 20 GROUP BY 1"),
+    "stream_rolling_last": (stream_rolling, ROLLING_SQL),
+    "stream_limited": (stream_limited, LIMITED_SQL),
+    "stream_first_seen": (stream_first_seen, "SELECT user_id || ':' || event_type AS identity, min(epoch_us(ts)) AS \"at\" FROM events GROUP BY 1"),
+    "stream_regimes": (stream_regimes, REGIMES_SQL),
 }

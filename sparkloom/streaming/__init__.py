@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def tumbling(events: DataFrame, at: str, width: str, lateness: str, keys: list[str], value: str) -> DataFrame:
@@ -20,37 +16,6 @@ def deduplicated(findings: DataFrame, at: str, keys: list[str], lateness: str) -
     return findings.withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def rolling_last(events: DataFrame, key: str, key_type: str, at: str, value: str, size: int) -> DataFrame:
-    """After each micro-batch, the number and mean of the last `size` values of each key that got rows."""
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        for f in frames:
-            held += f.sort_values(at)[value].astype(float).tolist()
-        held = held[-size:]
-        state.update((held,))
-        yield pd.DataFrame({key: [k[0]], "n": [len(held)], "mean": [sum(held) / len(held)]})
-
-    return events.select(key, at, value).groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, n long, mean double", "held array<double>", "update", GroupStateTimeout.NoTimeout)
-
-
-def rolling_window(events: DataFrame, key: str, key_type: str, at: str, value: str, size: int, age: float) -> DataFrame:
-    """After each micro-batch, number and mean of each key's last `size` values that are at most `age` seconds older than its newest."""
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, held = (list(x) for x in state.get) if state.exists else ([], [])
-        for f in frames:
-            times += f["_s"].astype(float).tolist()
-            held += f[value].astype(float).tolist()
-        order = sorted(range(len(times)), key=lambda i: (times[i], held[i]))[-size:]
-        order = [i for i in order if times[i] >= max(times) - age]
-        state.update(([times[i] for i in order], [held[i] for i in order]))
-        yield pd.DataFrame({key: [k[0]], "n": [len(order)], "mean": [sum(held[i] for i in order) / len(order)]})
-
-    rows = events.select(key, (F.unix_micros(at) / 1e6).alias("_s"), value)
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, n long, mean double", "times array<double>, held array<double>", "update", GroupStateTimeout.NoTimeout)
-
-
 def contracts(events: DataFrame, rules: dict[str, str]) -> DataFrame:
     """The rows with the names of the rules (SQL predicates) that they satisfy; rows that satisfy none are left out."""
     names = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()]))
