@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sparkloom import streaming
 from sparkloom.packaging import shipped
-from sparkloom.sources import table
+from sparkloom.sources import polling, table
 from sparkloom.streaming import timed
 
 
@@ -108,6 +108,12 @@ def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return _collected(timed.first_seen(events, "who", "ts", 5000)).select("identity", "at")
 
 
+def stream_polled(spark: SparkSession, d: str) -> DataFrame:
+    """Events polled by their number, in ranges of about a thousand for each task."""
+    stream = polling.polled(shipped(spark), "event_id long, event_type string, value double", f"{d}/events.parquet", "event_id", limit=1000)
+    return _collected(stream).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"), F.round(F.sum("value"), 2).alias("total"))
+
+
 def stream_regimes(spark: SparkSession, d: str) -> DataFrame:
     """The last 500 events analysed after each batch: kinds with a mean over 70 are findings, the commonest kind is the regime."""
     folder = _shared(spark)
@@ -180,5 +186,6 @@ QUERIES = {
     "stream_rolling_last": (stream_rolling, ROLLING_SQL),
     "stream_limited": (stream_limited, LIMITED_SQL),
     "stream_first_seen": (stream_first_seen, "SELECT user_id || ':' || event_type AS identity, min(epoch_us(ts)) AS \"at\" FROM events GROUP BY 1"),
+    "stream_polled": (stream_polled, "SELECT event_type, count(*) AS n, max(event_id) AS last, round(sum(value), 2) AS total FROM events GROUP BY 1"),
     "stream_regimes": (stream_regimes, REGIMES_SQL),
 }
