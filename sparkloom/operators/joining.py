@@ -106,14 +106,14 @@ def prior_matches(fits: DataFrame, priors: DataFrame, floor: float = 0.4, most:
 
 
 def prior_pairs(priors: DataFrame, least: float = 0.85) -> DataFrame:
-    """a, b, score, duplicate and contradiction of pairs of priors that share a form or a domain."""
+    """a, b, score, duplicate and contradiction of pairs of priors that share a domain, or a form where that alone can reach `least` (up to 0.8)."""
     from sparkloom.functions import jaccard, tokens
 
     one = priors.groupBy("prior").agg(F.first("form").alias("form"), F.first("domain").alias("domain"), F.first("structure").alias("structure"), F.collect_set("param").alias("params"), F.map_from_entries(F.collect_list(F.struct("param", "sign"))).alias("signs"))
     x, y = (one.select(*[F.col(c).alias(f"{p}_{c}") for c in one.columns]) for p in ("a", "b"))
-    # a pair meets by its form or by its domain: two equi-joins, not all pairs
-    by_form, by_domain = (x.join(y, (F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col("a_prior") < F.col("b_prior"))) for c in ("form", "domain"))
-    both = by_form.unionByName(by_domain).dropDuplicates(["a_prior", "b_prior"])
+    # a pair meets by its domain; by its form only where that is enough, as few forms make many pairs
+    met = [x.join(y, (F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col("a_prior") < F.col("b_prior"))) for c in (("domain", "form") if least <= 0.8 else ("domain",))]
+    both = met[0] if len(met) == 1 else met[0].unionByName(met[1]).dropDuplicates(["a_prior", "b_prior"])
     alike = lambda c: (F.col(f"a_{c}") == F.col(f"b_{c}")).cast("double")
     score = 0.5 * alike("form") + 0.2 * alike("domain") + 0.2 * (jaccard(tokens(F.col("a_structure")), tokens(F.col("b_structure"))) >= 0.6).cast("double") + 0.1 * (jaccard(F.col("a_params"), F.col("b_params")) >= 0.6).cast("double")
     against = F.exists(F.array_intersect("a_params", "b_params"), lambda k: F.try_element_at("a_signs", k) * F.try_element_at("b_signs", k) < 0) & (alike("domain") == 1)

@@ -110,70 +110,6 @@ def eigenvector(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return score.withColumnRenamed("s", "score")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """node and betweenness of an undirected graph: one breadth-first pass from each source, dealt over tasks; the edge list, of checked size, goes along.
-
-    The graph is broadcast, so it may have EDGES edges at most.
-    """
-    both = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).distinct()
-    if (n := both.count()) > EDGES:
-        raise ValueError(f"{n} edges, more than {EDGES}: betweenness needs the graph in each task")
-    links: dict[int, set[int]] = {}
-    for a, b in both.collect():
-        links.setdefault(a, set()).add(b)
-        links.setdefault(b, set()).add(a)
-    near = {k: sorted(v) for k, v in links.items()}
-    asked = sources if sources is not None else both.select(F.col("a").alias("node")).unionByName(both.select(F.col("b").alias("node"))).distinct()
-
-    def walk(frames):
-        for f in frames:
-            total: dict[int, float] = {}
-            for s in f["node"].tolist():
-                order, before, paths, far = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in near.get(v, ()):
-                        if w not in far:
-                            far[w], paths[w], before[w] = far[v] + 1, 0.0, []
-                            queue.append(w)
-                        if far[w] == far[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + share[w]
-            yield pd.DataFrame({"node": list(total), "part": [v / 2 for v in total.values()]}).astype({"node": "int64", "part": float})
-
-    return asked.repartition(16, "node").mapInPandas(walk, "node long, part double").groupBy("node").agg(F.sum("part").alias("betweenness"))
-
-
-EDGES = 2_000_000
-
-
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """node and community (its smallest member) by moving each node to its neighbours' community of the largest modularity gain; even and odd hashes take turns, so that pairs don't swap for ever."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
-    both = kept(both)
-    degree = kept(both.groupBy("a").agg(F.sum("w").alias("k")).withColumnRenamed("a", "node"))
-    total = degree.agg(F.sum("k")).first()[0] or 1.0
-    label = degree.select("node", F.col("node").alias("c"), "k")
-    for turn in range(rounds):
-        mass = label.groupBy("c").agg(F.sum("k").alias("mass"))
-        toward = both.join(label.select(F.col("node").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
-        gain = toward.join(mass, "c").join(label.select(F.col("node").alias("a"), F.col("c").alias("own"), "k"), "a")
-        rest = F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-        scored = gain.withColumn("g", F.round(F.col("w") - F.col("k") * rest / total, 9))
-        best = scored.groupBy("a").agg(F.max_by("c", F.struct("g", -F.col("c"))).alias("to"), F.max("g").alias("g"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"))
-        moved = best.where((F.pmod(F.xxhash64("a"), F.lit(2)) == turn % 2) & (F.col("g") > F.coalesce("stay", F.lit(0.0)))).select(F.col("a").alias("node"), "to")
-        label = kept(label.join(moved, "node", "left").select("node", F.coalesce("to", "c").alias("c"), "k"))
-    names = label.groupBy("c").agg(F.min("node").alias("community"))
-    return label.join(names, "c").select("node", "community")
-
-
 def propagated(edges: DataFrame, start: DataFrame, hops: int = 3) -> DataFrame:
     """node, hop, delta, confidence: a change carried along edges (src, dst, gain, confidence) for some hops; changes add up at a node, confidence is the least on the way."""
     wave, out = start.select("node", "delta", "confidence"), None
@@ -185,28 +121,6 @@ def propagated(edges: DataFrame, start: DataFrame, hops: int = 3) -> DataFrame:
     return out
 
 
-def components_by_distance(points: DataFrame, key: str, x: str, y: str, most: float) -> DataFrame:
-    """n_components at a distance, from links of near points found on a grid: the zeroth Betti number at that scale."""
-    cell = lambda c: F.floor(F.col(c) / most)
-    base = points.select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
-    a = base.withColumn("cx", F.explode(F.array(*[cell("x") + i for i in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[cell("y") + i for i in (-1, 0, 1)])))
-    b = base.select(F.col("k").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
-    links = a.join(b, ["cx", "cy"]).where("k < o").where((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 <= most**2).select("k", "o")
-    links = kept(links)
-    both = links.unionByName(links.select(F.col("o").alias("k"), F.col("k").alias("o")))
-    label = base.select("k", F.col("k").alias("c"))
-    while True:
-        pulled = both.join(label.select(F.col("k").alias("o"), "c"), "o").groupBy("k").agg(F.min("c").alias("m"))
-        # a jump to the label's own label halves the way each round
-        fresh = label.join(pulled, "k", "left").select("k", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old"))
-        fresh = kept(fresh)
-        jump = kept(fresh.join(fresh.select(F.col("k").alias("c"), F.col("c").alias("cc")), "c", "left").select("k", F.least("c", F.coalesce("cc", "c")).alias("c"), "old"))
-        if not jump.where("c <> old").head(1):
-            break
-        label = jump.select("k", "c")
-    return label.agg(F.count_distinct("c").alias("n_components"))
-
-
 def field_laws(grid: DataFrame, time: str, place: str, value: str, dt: float, dx: float) -> DataFrame:
     """law, coefficient, r2, rmse of heat, advection and wave equations on a grid of time and place: one slope through the origin each, from windows."""
     along, over = Window.partitionBy(place).orderBy(time), Window.partitionBy(time).orderBy(place)

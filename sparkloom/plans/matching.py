@@ -92,7 +92,28 @@ t AS (SELECT s_suppkey, CASE WHEN law IS NOT NULL THEN 'physics' WHEN k IS NOT N
 
 _PRIORS = "VALUES ('cooling', 'linear', 'physics', 'dy dt a y b', 'a', -1D, -2D, -0.01D), ('cooling', 'linear', 'physics', 'dy dt a y b', 'b', 0D, 0D, 500D), ('interest', 'linear', 'finance', 'dy dt r y', 'a', 1D, 0.001D, 0.5D), ('growth', 'logistic', 'biology', 'dy dt r y one y K', 'r', 1D, 0.01D, 3D), ('growth', 'logistic', 'biology', 'dy dt r y one y K', 'K', 0D, 10D, 10000D), ('growth2', 'logistic', 'biology', 'dy dt r y one y K', 'r', -1D, 0.01D, 2D), ('growth2', 'logistic', 'biology', 'dy dt r y one y K', 'K', 0D, 10D, 9000D)"
 _COLS = "(prior, form, domain, structure, param, sign, low, high)"
-_FITS = "VALUES (1, 'linear', 'a', -0.4D), (1, 'linear', 'b', 20D), (2, 'linear', 'a', 0.6D), (3, 'logistic', 'r', 0.5D), (3, 'logistic', 'K', 20000D), (4, 'logistic', 'r', 4D)"
+
+
+def _user_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's line of values over the days of the month, and its rate and ceiling."""
+    day = F.dayofmonth("ts").cast("double")
+    return table(spark, d, "events").groupBy("user_id").agg(F.round(F.regr_slope("value", day), 6).alias("a"), F.round(F.regr_intercept("value", day), 6).alias("b"), F.round(F.avg("value") / 100, 6).alias("r"), (F.max("value") * 10).alias("K"))
+
+
+_USERS_SQL = """u AS (
+  SELECT user_id, round(regr_slope(value, day(ts)::DOUBLE), 6) AS a, round(regr_intercept(value, day(ts)::DOUBLE), 6) AS b,
+    round(avg(value) / 100, 6) AS r, max(value) * 10 AS k
+  FROM events GROUP BY 1)"""
+_FITS_SQL = """f AS (
+  SELECT user_id * 2 AS fit, 'linear' AS form, 'a' AS param, a AS value FROM u
+  UNION ALL SELECT user_id * 2, 'linear', 'b', b FROM u
+  UNION ALL SELECT user_id * 2 + 1, 'logistic', 'r', r FROM u
+  UNION ALL SELECT user_id * 2 + 1, 'logistic', 'K', k FROM u)"""
+_OWN_PRIORS_SQL = """p AS (
+  SELECT 'u' || user_id AS prior, 'linear' AS form, 'd' || (user_id // 10) AS domain, 'dy dt a y b' AS structure, 'a' AS param, sign(a)::DOUBLE AS sign FROM u WHERE user_id % 3 > 0 AND a IS NOT NULL
+  UNION ALL SELECT 'u' || user_id, 'linear', 'd' || (user_id // 10), 'dy dt a y b', 'b', sign(b)::DOUBLE FROM u WHERE user_id % 3 > 0 AND a IS NOT NULL
+  UNION ALL SELECT 'u' || user_id, 'logistic', 'd' || (user_id // 10), 'dy dt r y one y K', 'r', 1.0::DOUBLE FROM u WHERE user_id % 3 = 0
+  UNION ALL SELECT 'u' || user_id, 'logistic', 'd' || (user_id // 10), 'dy dt r y one y K', 'K', 0.0::DOUBLE FROM u WHERE user_id % 3 = 0)"""
 
 
 def _double(text: str) -> str:
@@ -102,23 +123,40 @@ def _double(text: str) -> str:
 
 
 def prior_matches(spark: SparkSession, d: str) -> DataFrame:
-    """The three best priors of each fitted law, by the ranges that its parameters fall into; a wrong sign rules a prior out."""
-    priors, fits = spark.sql(f"SELECT * FROM {_PRIORS} AS t{_COLS}"), spark.sql(f"SELECT * FROM {_FITS} AS t(fit, form, param, value)")
+    """The three best priors of each user's fits, by the ranges that their parameters fall into; a wrong sign rules a prior out."""
+    priors = spark.sql(f"SELECT * FROM {_PRIORS} AS t{_COLS}")
+    of = lambda fit, form, *names: [F.struct(fit.alias("fit"), F.lit(form).alias("form"), F.lit(n).alias("param"), F.col(n).alias("value")) for n in names]
+    user = F.col("user_id") * 2
+    fits = _user_fits(spark, d).select(F.inline(F.array(*of(user, "linear", "a", "b"), *of(user + 1, "logistic", "r", "K"))))
     return joining.prior_matches(fits, priors).select("fit", "prior", F.round("confidence", 6).alias("confidence"))
 
 
-MATCH_SQL = f"""WITH p AS (SELECT * FROM ({_double(_PRIORS)}) t{_COLS}), f AS (SELECT * FROM ({_double(_FITS)}) t(fit, form, param, value)), x AS (SELECT DISTINCT fit, form FROM f),
-j AS (SELECT x.fit, p.prior, p.param, value, sign, CASE WHEN value IS NULL THEN 0.7 WHEN value BETWEEN low AND high THEN 1 ELSE greatest(0, 1 - greatest(low - value, value - high) / (high - low)) END AS s FROM x JOIN p USING (form) LEFT JOIN f ON f.fit = x.fit AND f.param = p.param),
+MATCH_SQL = f"""
+WITH {_USERS_SQL}, {_FITS_SQL},
+p AS (SELECT * FROM ({_double(_PRIORS)}) t{_COLS}),
+x AS (SELECT DISTINCT fit, form FROM f),
+j AS (
+  SELECT x.fit, p.prior, p.param, value, sign,
+    CASE WHEN value IS NULL THEN 0.7 WHEN value BETWEEN low AND high THEN 1 ELSE greatest(0, 1 - greatest(low - value, value - high) / (high - low)) END AS s
+  FROM x JOIN p USING (form) LEFT JOIN f ON f.fit = x.fit AND f.param = p.param),
 c AS (SELECT fit, prior, CASE WHEN bool_or(value * sign < 0) THEN 0 ELSE avg(s) END AS confidence FROM j GROUP BY 1, 2)
-SELECT fit, prior, round(confidence, 6) AS confidence FROM c WHERE confidence > 0.4 QUALIFY row_number() OVER (PARTITION BY fit ORDER BY confidence DESC, prior) <= 3"""
+SELECT fit, prior, round(confidence, 6) AS confidence FROM c WHERE confidence > 0.4
+QUALIFY row_number() OVER (PARTITION BY fit ORDER BY confidence DESC, prior) <= 3"""
 
 
 def prior_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of priors that say nearly the same, and pairs of one domain that contradict each other in a sign."""
-    return joining.prior_pairs(spark.sql(f"SELECT * FROM {_PRIORS} AS t{_COLS}")).select("a", "b", F.round("score", 6).alias("score"), "duplicate", "contradiction")
-
-
-DUPLICATE_SQL = f"""WITH p AS (SELECT * FROM ({_double(_PRIORS)}) t{_COLS}), g AS (SELECT prior, any_value(form) AS form, any_value(domain) AS domain, list_distinct(string_split(lower(any_value(structure)), ' ')) AS w, list(param) AS k FROM p GROUP BY 1),
+    """Pairs of users' laws that say nearly the same, and pairs of one domain (ten users) that contradict each other in a sign."""
+    u = _user_fits(spark, d)
+    of = lambda form, structure, **signs: [F.struct(F.lit(form).alias("form"), F.lit(structure).alias("structure"), F.lit(n).alias("param"), x.cast("double").alias("sign")) for n, x in signs.items()]
+    line, curve = of("linear", "dy dt a y b", a=F.signum("a"), b=F.signum("b")), of("logistic", "dy dt r y one y K", r=F.lit(1), K=F.lit(0))
+    rows = u.select("user_id", F.inline(F.when(F.col("user_id") % 3 == 0, F.array(*curve)).when(F.col("a").isNotNull(), F.array(*line))))
+    priors = rows.select(F.concat(F.lit("u"), "user_id").alias("prior"), F.concat(F.lit("d"), F.floor(F.col("user_id") / 10)).alias("domain"), "form", "structure", "param", "sign")
+    return joining.prior_pairs(priors).select("a", "b", F.round("score", 6).alias("score"), "duplicate", "contradiction")
+
+
+DUPLICATE_SQL = f"""
+WITH {_USERS_SQL}, {_OWN_PRIORS_SQL},
+g AS (SELECT prior, any_value(form) AS form, any_value(domain) AS domain, list_distinct(string_split(lower(any_value(structure)), ' ')) AS w, list(param) AS k FROM p GROUP BY 1),
 j AS (SELECT a.prior AS a, b.prior AS b, (a.form = b.form) AS f, (a.domain = b.domain) AS dm, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS jw, len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))) AS jk FROM g a JOIN g b ON a.prior < b.prior AND (a.form = b.form OR a.domain = b.domain)),
 s AS (SELECT a, b, 0.5 * f::INT + 0.2 * dm::INT + 0.2 * (jw >= 0.6)::INT + 0.1 * (jk >= 0.6)::INT AS score FROM j),
 c AS (SELECT DISTINCT x.prior AS a, y.prior AS b FROM p x JOIN p y ON x.domain = y.domain AND x.param = y.param AND x.prior < y.prior AND x.sign * y.sign < 0)

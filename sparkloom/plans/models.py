@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom import functions as fn
-from sparkloom.operators import models
+from sparkloom.lineage import kept
+from sparkloom.operators import graphs, laws, models, robust, series
 from sparkloom.packaging import shipped
 from sparkloom.plans.estimates import _points
 from sparkloom.plans.series import _DAYS, _days
@@ -89,11 +90,59 @@ def _power_sql(rounds: int) -> str:
 
 
 def centrality_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return models.betweenness(_edges(shipped(spark), d)).select("node", F.round("betweenness", 6).alias("betweenness"))
+    return graphs.betweenness(_edges(spark, d)).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
 def graph_communities(spark: SparkSession, d: str) -> DataFrame:
-    return models.communities(_edges(spark, d)).groupBy("community").agg(F.count("*").alias("n"))
+    return graphs.louvain(_edges(spark, d))[0].groupBy("community").agg(F.count("*").alias("n"))
+
+
+def graph_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Communities and modularity of each level of contraction."""
+    return graphs.louvain(_edges(spark, d))[1].withColumn("modularity", F.round("modularity", 6))
+
+
+def spanning_bars(spark: SparkSession, d: str) -> DataFrame:
+    """At which distance each component of parts, placed by size and price, meets another one."""
+    found = graphs.components_born_and_dead(table(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"])
+    return found.select("birth", F.round("death", 6).alias("death"))
+
+
+def masked_outliers(spark: SparkSession, d: str) -> DataFrame:
+    """Line items that lie off a covariance which outliers can't mask, by return flag."""
+    found = robust.robust_outliers(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return found.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if("outlier").alias("outliers"))
+
+
+def price_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Closed forms of a line item's price by its quantity, the best first."""
+    found = laws.closed_forms(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], ("linear", "logarithmic", "reciprocal", "root", "power", "exponential"))
+    return found.select("form", "rank", "n", F.round("aic", 2).alias("aic"), F.round("r2", 6).alias("r2"))
+
+
+FORMS_SQL = """
+WITH i AS (SELECT l_extendedprice AS y, ln(l_extendedprice) AS z, l_quantity AS x, ln(l_quantity) AS lx, 1 / l_quantity AS vx, sqrt(l_quantity) AS rx FROM lineitem),
+s AS (
+  SELECT count(*) AS n, var_pop(y) AS vy, var_pop(z) AS vz, sum(z) AS sz, corr(x, y) AS c1, corr(lx, y) AS c2, corr(vx, y) AS c3, corr(rx, y) AS c4,
+    corr(lx, z) AS c5, corr(x, z) AS c6
+  FROM i),
+f AS (
+  SELECT 'linear' AS form, c1 AS c, vy AS v, 0 AS j, n FROM s
+  UNION ALL SELECT 'logarithmic', c2, vy, 0, n FROM s
+  UNION ALL SELECT 'reciprocal', c3, vy, 0, n FROM s
+  UNION ALL SELECT 'root', c4, vy, 0, n FROM s
+  UNION ALL SELECT 'power', c5, vz, 2 * sz, n FROM s
+  UNION ALL SELECT 'exponential', c6, vz, 2 * sz, n FROM s),
+a AS (SELECT form, n, n * ln(v * (1 - c * c)) + 4 + j AS aic, c * c AS r2 FROM f)
+SELECT form, row_number() OVER (ORDER BY aic, form)::INT AS rank, n, round(aic, 2) AS aic, round(r2, 6) AS r2 FROM a
+"""
+
+
+def event_systems(spark: SparkSession, d: str) -> DataFrame:
+    """Which coupled system the daily counts and values of each kind of event follow best, one for all kinds."""
+    days = _days(shipped(spark), d)
+    found = laws.coupled_systems(days, ["event_type"], ["day"], ["n", "v"])
+    return found.select("system", "rank", "n", F.round("aic", 3).alias("aic"), F.round("r2", 5).alias("r2"))
 
 
 def propagated_change(spark: SparkSession, d: str) -> DataFrame:
@@ -110,11 +159,9 @@ w1 AS ({_HOP.format(h=1, w="w0")}), w2 AS ({_HOP.format(h=2, w="w1")}), w3 AS ({
 
 def components_by_distance(spark: SparkSession, d: str) -> DataFrame:
     """In how many pieces points fall when those within a distance are linked, at three distances."""
-    p, found = _points(spark, d), None
-    for r in (5.0, 20.0, 60.0):
-        one = models.components_by_distance(p, "k", "x", "y", r).withColumn("distance", F.lit(r))
-        found = one if found is None else found.unionByName(one)
-    return found
+    bars = kept(graphs.components_born_and_dead(_points(spark, d), "k", ["x", "y"]))
+    alive = [F.struct(F.lit(r).alias("distance"), F.count_if(F.col("death").isNull() | (F.col("death") > r)).alias("n_components")) for r in (5.0, 20.0, 60.0)]
+    return bars.agg(F.array(*alive).alias("a")).select(F.inline("a"))
 
 
 def field_laws(spark: SparkSession, d: str) -> DataFrame:
@@ -206,8 +253,18 @@ SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY
 
 
 def false_fires(spark: SparkSession, d: str) -> DataFrame:
-    """How often CUSUM fires on noise of three strengths of memory."""
-    return models.false_fires(shipped(spark), [(0.0, 90), (0.4, 90), (0.8, 90)], 100).select("phi", "n", "fires", *[F.round(c, 6).alias(c) for c in ("rate", "low", "high")])
+    """How often CUSUM fires on users' events in an order that tells nothing, as they are and as means of 3 and of 5: rates with Wilson's interval."""
+    e = table(shipped(spark), d, "events").where("user_id IS NOT NULL").withColumn("h", F.md5(F.col("event_id").cast("string").cast("binary")))
+    own, found = Window.partitionBy("user_id").orderBy("h"), None
+    for memory in (1, 3, 5):
+        mixed = e.select("user_id", "h", F.avg("value").over(own.rowsBetween(1 - memory, 0)).alias("x"))
+        alarms = series.cusum(mixed, ["user_id"], "user_id long", ["h"], "x", limit=5.0).select("user_id").distinct().withColumn("fired", F.lit(1))
+        one = e.select("user_id").distinct().join(alarms, "user_id", "left").agg(F.lit(memory).alias("memory"), F.count("*").alias("series"), F.count("fired").alias("fires"))
+        found = one if found is None else found.unionByName(one)
+    n, p, z2 = F.col("series"), F.col("fires") / F.col("series"), 1.959963984540054**2
+    half = 1.959963984540054 * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))
+    ends = [F.round((p + z2 / (2 * n) + s * half) / (1 + z2 / n), 6) for s in (-1, 1)]
+    return found.select("memory", "series", "fires", F.round(p, 6).alias("rate"), ends[0].alias("low"), ends[1].alias("high"))
 
 
 def conditional_information(spark: SparkSession, d: str) -> DataFrame:
@@ -266,6 +323,11 @@ QUERIES = {
     "centrality_eigenvector": (centrality_eigenvector, _power_sql(3)),
     "centrality_betweenness": (centrality_betweenness, None),
     "graph_communities": (graph_communities, None),
+    "graph_levels": (graph_levels, None),
+    "spanning_bars": (spanning_bars, None),
+    "masked_outliers": (masked_outliers, None),
+    "price_forms": (price_forms, FORMS_SQL),
+    "event_systems": (event_systems, None),
     "propagated_change": (propagated_change, PROPAGATED_SQL),
     "components_by_distance": (components_by_distance, None),
     "field_laws": (field_laws, FIELD_SQL),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import gates, preflight, structure
+from sparkloom.packaging import shipped
 from sparkloom.sources import table
 
 _HOLES = {
@@ -256,8 +257,53 @@ def advanced_gates(spark: SparkSession, d: str) -> DataFrame:
     return gates.gated(table(spark, d, "events").drop("props"))
 
 
+
+GATES_SQL = """
+WITH u AS (SELECT DISTINCT epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL),
+d AS (SELECT t - lag(t) OVER (ORDER BY t) AS d FROM u),
+f AS (SELECT (SELECT count(*) FROM events) AS n, (SELECT stddev_pop(d) / avg(d) FROM d) AS cv),
+s AS (
+  SELECT place, step, numbers, least_rows, need, holds FROM (VALUES
+    (1, 'composition', 2, 1, 'rows form no composition', false),
+    (2, 'mutual_information', 2, 20, '', true),
+    (3, 'granger', 2, 30, 'no time axis', true),
+    (4, 'hidden_regimes', 1, 50, '', true),
+    (5, 'wavelets', 1, 32, '', true),
+    (6, 'uneven_periods', 1, 16, 'times are even', NULL),
+    (7, 'interpolation', 1, 8, '', true),
+    (8, 'sparse_dynamics', 2, 50, 'no time axis', true),
+    (9, 'components', 2, 4, '', true),
+    (10, 'power', 2, 4, 'no groups to compare', false),
+    (11, 'clusters', 2, 30, '', true),
+    (12, 'posteriors', 1, 5, '', true),
+    (13, 'panel', 1, 4, 'no time axis and entities', true),
+    (14, 'survival', 1, 10, 'no duration and event', false),
+    (15, 'spatial', 3, 5, 'no latitude and longitude', false),
+    (16, 'network', 0, 1, 'no source and target', false),
+    (17, 'treatment', 2, 4, 'no panel with a binary treatment', false)) v(place, step, numbers, least_rows, need, holds)),
+r AS (
+  SELECT place, step,
+    CASE WHEN numbers > 1 THEN 'fewer than ' || numbers || ' numbers'
+      WHEN n < least_rows THEN 'fewer than ' || least_rows || ' rows'
+      WHEN NOT coalesce(holds, cv >= 0.05) THEN need END AS reason
+  FROM s, f)
+SELECT place, step, reason IS NULL AS applied, reason FROM r
+"""
+
+
+def advanced_steps(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each advanced step tells of the line items."""
+    found = gates.run(table(shipped(spark), d, "lineitem").select("l_shipdate", "l_returnflag", "l_quantity", "l_extendedprice", "l_discount"))
+    out = None
+    for name, result in found.items():
+        one = result.agg(F.lit(name).alias("step"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
-    "advanced_gates": (advanced_gates, None),
+    "advanced_gates": (advanced_gates, GATES_SQL),
+    "advanced_steps": (advanced_steps, None),
     "missingness_classes": (missingness_classes, f"WITH {_CLASSES} SELECT * FROM m"),
     "schema_violations": (schema_violations, f"WITH {_VIOLATIONS} SELECT * FROM vs"),
     "sampling_steps": (sampling_steps, f"WITH {_SAMPLING} SELECT * FROM sa"),

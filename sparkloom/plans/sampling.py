@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators import tiers
 from sparkloom.sources import table
 
 
@@ -27,6 +28,16 @@ def stratified_panel(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("n", n).where("n <= 2").select("user_id", "event_type", "event_id")
 
 
+def sample_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Line items in tiers of 2,000 and 8,000 rows and all: how many rows and months each has, by the method that their shape asks for."""
+    parts, told = tiers.tiers(table(spark, d, "lineitem"), {1: (2000, 8), 2: (8000, 10), 3: (None, None)}, ["l_orderkey"], small=1000)
+    found = None
+    for tier, part in parts.items():
+        one = part.agg(F.lit(tier).alias("tier"), F.count("*").alias("n"), F.count_distinct(F.date_format("l_shipdate", "yyyy-MM")).alias("months"))
+        found = one if found is None else found.unionByName(one)
+    return found.join(told.select("tier", "shape", "method", "n_columns"), "tier")
+
+
 def hash_sample(spark: SparkSession, d: str) -> DataFrame:
     """The 100 orders of the least hash: the same for any order of the rows."""
     h = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
@@ -86,6 +97,7 @@ def identities(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "sample_tiers": (sample_tiers, None),
     "sample_stratified_temporal": (stratified_temporal, STRATA_SQL),
     "sample_stratified_panel": (stratified_panel, "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= 2"),
     "sample_by_hash": (hash_sample, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(o_orderkey::VARCHAR), o_orderkey LIMIT 100"),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import functions as fn
-from sparkloom.operators import contracts, estimates, forecasting, models, patterns, preflight, structure
+from sparkloom.operators import contracts, estimates, forecasting, graphs, models, patterns, preflight, structure
 
 
 def table(spark, columns: dict):
@@ -190,14 +190,14 @@ def test_outliers_and_clusters(spark):
 def test_graph_figures(spark):
     edges = [(a, b) for g in (0, 10) for a in range(g, g + 5) for b in range(a + 1, g + 5)] + [(0, 10)]
     df = spark.createDataFrame(edges, "a int, b int")
-    got = {r.node: r.betweenness for r in models.betweenness(df).collect()}
+    got = {r.node: r.betweenness for r in graphs.betweenness(df).collect()}
     assert got[0] == got[10] == 4 * 5 and got[1] == 0
     groups = {}
-    for r in models.communities(df).collect():
+    for r in graphs.louvain(df)[0].collect():
         groups.setdefault(r.community, set()).add(r.node)
     assert sorted(map(sorted, groups.values())) == [list(range(5)), list(range(10, 15))]
     points = spark.createDataFrame([(i, float(i % 10 + (i // 10) * 100), 0.0) for i in range(30)], "k int, x double, y double")
-    assert models.components_by_distance(points, "k", "x", "y", 1.0).first()[0] == 3
+    assert graphs.components_born_and_dead(points, "k", ["x", "y"]).where("death IS NULL OR death > 1").count() == 3
 
 
 def test_field_of_heat(spark):

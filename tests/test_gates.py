@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkloom import api
@@ -26,3 +28,46 @@ def test_one_call(spark, tmp_path):
     assert got.contract.first().n_columns == 3 and {r.column: r.role for r in got.roles.collect()}["day"] == "datetime"
     assert got.findings.where(check="missingness", subject="units_sold").df.count() == 1
     assert got.forecast.count() == 7 and got.findings.count_by_severity()
+
+
+def full_table(spark, n=640):
+    rng = np.random.default_rng(1)
+    i = np.arange(n)
+    site, t = i % 8, i // 8
+    treated = ((site % 2 == 1) & (t >= n // 16)).astype(int)
+    x = rng.normal(size=n).cumsum() * 0.1 + 5 * (i > n // 2)
+    y = np.concatenate(([0.0], x[:-1])) + 3.0 * treated + rng.normal(size=n) * 0.1
+    group = (rng.random(n) < 0.5).astype(int)
+    return spark.createDataFrame(pd.DataFrame({
+        "site": [f"s{k}" for k in site], "ts": np.datetime64("2024-01-01") + (i * 3600 + rng.integers(0, 1800, n)).astype("timedelta64[s]"), "x": x, "y": y, "treated": treated,
+        "duration": np.ceil(rng.exponential(10, n) * (1 + group)), "event": (rng.random(n) < 0.8).astype(int), "lat": rng.random(n) * 10, "lon": group * 100 + rng.random(n) * 10,
+        "origin": [f"p{k % 4}" for k in i], "destination": [f"p{4 * (k % 2) + (k // 3) % 4}" for k in i]}))
+
+
+def test_every_step_runs_behind_its_gate(spark):
+    df = full_table(spark)
+    applied = {r.step for r in gates.gated(df).collect() if r.applied}
+    assert applied == {s.name for s in gates.STEPS} - {"composition"} and all(s.run for s in gates.STEPS)
+    got = gates.run(df)
+    assert set(got) == applied | {"cluster_stability", "hazards", "network_nodes"}
+    found = {k: v.collect() for k, v in got.items()}
+    assert all(found[k] for k in set(got) - {"uneven_periods"})
+    causes = {(r.cause, r.effect, r.lag): r.p for r in found["granger"]}
+    assert causes["x", "y", 1] < 1e-6 and len(causes) == 3 * 7 * 6
+    assert {r.column for r in found["hidden_regimes"]} == set(gates.facts(df).numbers) == {"x", "y", "treated", "duration", "event", "lat", "lon"}
+    effect = next(r for r in found["treatment"] if r.column == "y")
+    assert effect.entities == 8 and abs(effect.effect - 3) < 1.5
+    assert next(r for r in found["power"] if r.column == "y").rows_needed < 60
+    assert {r.community for r in found["network_nodes"]} and sum(r.degree for r in found["network_nodes"]) == 2 * 640
+    shares = {(r.column, r.part): r.share for r in found["panel"]}
+    assert shares["x", "time"] > 0.5 and all(r.low <= r.high for r in found["panel"])
+    mean = next(r for r in found["posteriors"] if r.column == "lat")
+    assert mean.low < 5 < mean.high and mean.n == 640
+    assert found["components"][0].components >= 1 and found["cluster_stability"][0].ari is not None
+    assert next(r for r in found["spatial"] if r.column == "duration").n == 640
+
+
+def test_compositions_and_bare_tables(spark):
+    parts = spark.range(60).selectExpr("0.2 + (id % 5) / 100 AS a", "0.3 + (id % 3) / 100 AS b", "0.5 - (id % 5) / 100 - (id % 3) / 100 AS c")
+    got = gates.run(parts, tuple(s for s in gates.STEPS if s.name in ("composition", "posteriors", "granger")))
+    assert set(got) == {"composition", "posteriors"} and got["composition"].first().is_compositional
