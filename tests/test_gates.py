@@ -69,6 +69,12 @@ def test_steps_of_time_and_panels(spark):
     assert all(r.low <= r.high for r in got["panel"] + got["posteriors"])
 
 
+def test_steps_of_places_lives_and_links(spark):
+    df = full_table(spark, 240).select("lat", "lon", "duration", "event", "origin", "destination")
+    got = gates.run(df, tuple(s for s in gates.STEPS if s.name in APART - {"components"}))
+    assert {k: v.count() for k, v in got.items() if k != "survival"} == {"clusters": got["clusters"].count(), "cluster_stability": 1, "hazards": 2, "spatial": 2, "network": 1, "network_nodes": 8}
+
+
 def test_compositions_and_bare_tables(spark):
     parts = spark.range(60).selectExpr("0.2 + (id % 5) / 100 AS a", "0.3 + (id % 3) / 100 AS b", "0.5 - (id % 5) / 100 - (id % 3) / 100 AS c")
     got = gates.run(parts, tuple(s for s in gates.STEPS if s.name in ("composition", "posteriors", "granger")))
