@@ -129,7 +129,8 @@ def panel_share_intervals(df: DataFrame, entity: str, time: str, value: str, rep
 
     def shares(whole: DataFrame, times: DataFrame, on: list[str]) -> DataFrame:
         met = whole.join(times, on) if on else whole.crossJoin(times)
-        base = F.col("s") ** 2 / F.col("n")
+        # a replicate may draw no entity
+        base = F.try_divide(F.col("s") ** 2, F.col("n"))
         total = F.col("q") - base
         a, b = (F.col("b") - base) / total, (F.col("bt") - base) / total
         return met.where(total > 0).select(*on, a.alias("entity"), b.alias("time"), F.greatest(F.lit(0.0), 1 - a - b).alias("residual"))
@@ -206,7 +207,7 @@ def doubly_robust(df: DataFrame, key: Column, treatment: str, outcome: str, cova
         arms.append(line([fitted["intercept"], *[fitted[n] for n in names]]))
     part = arms[1] - arms[0] + F.col("t") * (F.col("y") - arms[1]) / e - (1 - F.col("t")) * (F.col("y") - arms[0]) / (1 - e)
     per = kept(flat.select("c", part.alias("psi")).groupBy("c").agg(F.sum("psi").alias("s"), F.count("*").cast("double").alias("n")))
-    drawn = replicate_sums(per, F.col("c"), {"s": F.col("s"), "n": F.col("n")}, replicates, seed).select((F.col("s") / F.col("n")).alias("v"))
+    drawn = replicate_sums(per, F.col("c"), {"s": F.col("s"), "n": F.col("n")}, replicates, seed).select(F.try_divide("s", "n").alias("v"))
     point = per.agg((F.sum("s") / F.sum("n")).alias("effect"))
     return point.crossJoin(interval(drawn, "v", level)).select("effect", F.col("sd").alias("se"), "low", "high")
 
