@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -136,36 +136,43 @@ def fused(series: DataFrame, name: str, order: str, value: str) -> DataFrame:
     return series.sparkSession.createDataFrame([(a, b, r, explained) for (a, b), r in zip(pairs, told, strict=True)], "a string, b string, r double, explained double")
 
 
+def _alike(a: Column, b: Column, least: float) -> Column:
+    """Whether two texts' edit ratio is `least` or more: lengths first, they are cheap."""
+    from sparkloom.functions import edit_ratio
+
+    longest = F.greatest(F.length(a), F.length(b))
+    return (F.abs(F.length(a) - F.length(b)) <= (1 - least) * longest) & (edit_ratio(a, b) >= least)
+
+
 def fuzzy_best(asked: DataFrame, titles: DataFrame, least: float) -> DataFrame:
-    """id, match_id and ratio: the most alike of the titles (match_id, other) that share a word with each asked one (id, title)."""
+    """id, match_id and ratio: the most alike of the titles (match_id, other) that share a word with each asked one (id, title); ties to the smaller match_id. Equal texts are compared once."""
     from sparkloom.functions import edit_ratio, tokens
 
-    a = asked.select("id", "title", F.explode(tokens(F.col("title"))).alias("w"))
-    b = titles.select("match_id", "other", F.explode(tokens(F.col("other"))).alias("w"))
-    met = a.join(b, "w").dropDuplicates(["id", "match_id"]).withColumn("ratio", edit_ratio(F.lower("title"), F.lower("other"))).where(F.col("ratio") >= least)
-    best = met.groupBy("id").agg(F.min_by(F.struct("match_id", "ratio"), F.struct(-F.col("ratio"), "match_id")).alias("b"))
-    return best.select("id", "b.*")
+    questions = asked.withColumn("t", F.lower("title"))
+    known = titles.groupBy(F.lower("other").alias("o")).agg(F.min("match_id").alias("match_id"))
+    a = questions.select("t").distinct().select("t", F.explode(tokens(F.col("t"))).alias("w"))
+    b = known.select("o", "match_id", F.explode(tokens(F.col("o"))).alias("w"))
+    met = a.join(b, "w").where(_alike(F.col("t"), F.col("o"), least)).withColumn("ratio", edit_ratio(F.col("t"), F.col("o")))
+    best = met.groupBy("t").agg(F.min_by(F.struct("match_id", "ratio"), F.struct(-F.col("ratio"), "match_id")).alias("b"))
+    return questions.join(best, "t").select("id", "b.*")
 
 
 def fuzzy_dedupe(rows: DataFrame, least: float) -> DataFrame:
-    """Rows (id, title) that no row of a smaller id resembles; only rows that share a word are compared."""
-    from sparkloom.functions import edit_ratio, token_sort, tokens
+    """Rows (id, title) that no row of a smaller id resembles; only rows that share a word are compared, by their whole texts with words sorted, equal ones once."""
+    from sparkloom.functions import token_sort, tokens
 
     s = rows.select("id", token_sort(F.col("title")).alias("t"))
-    a, b = (s.select(F.col("id").alias(f"{p}_id"), F.col("t").alias(f"{p}_t"), F.explode(tokens(F.col("t"))).alias("w")) for p in "ab")
-    close = F.abs(F.length("a_t") - F.length("b_t")) <= (1 - least) * F.greatest(F.length("a_t"), F.length("b_t"))
-    gone = a.join(b, "w").where("a_id < b_id").where(close).dropDuplicates(["a_id", "b_id"]).where(edit_ratio(F.col("a_t"), F.col("b_t")) >= least).select(F.col("b_id").alias("id")).distinct()
+    # of equal texts with words all but the first go; a text is compared under its least and its greatest id
+    texts = s.groupBy("t").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("t <> ''")
+    a, b = (texts.select(F.col(i).alias(f"{p}_id"), F.col("t").alias(f"{p}_t"), F.explode(tokens(F.col("t"))).alias("w")) for p, i in (("a", "first"), ("b", "last")))
+    met = a.join(b, "w").where("a_id < b_id").where("a_t <> b_t").where(_alike(F.col("a_t"), F.col("b_t"), least))
+    beyond = met.groupBy(F.col("b_t").alias("t")).agg(F.min("a_id").alias("from"))
+    same = texts.where("first < last").select("t", F.col("first").alias("from"))
+    start = beyond.unionByName(same).groupBy("t").agg(F.min("from").alias("from"))
+    gone = s.join(start, "t").where("id > from").select("id").distinct()
     return rows.join(gone, "id", "left_anti")
 
 
-def top_similar(queries: DataFrame, rows: DataFrame, key: str, vector: str, within: list[str], score, k: int) -> DataFrame:
-    """query_id, key and score of the k most similar rows of each query among those that agree in `within`; ties to the smaller key."""
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"), *within)
-    met = q.join(rows.select(key, vector, *within), within).where(F.col("query_id") != F.col(key)).withColumn("score", score(F.col("_q"), F.col(vector)))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), key))
-    return met.withColumn("_r", rank).where(F.col("_r") <= k).select("query_id", key, "score")
-
-
 def signature_votes(asked: DataFrame, known: DataFrame, least: float = 0.5, most: int = 3) -> DataFrame:
     """Priors of signatures (shape, monotonic, domain, slope, bends, frequency) like the asked one, by summed similarity; two votes at least."""
     q = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns])

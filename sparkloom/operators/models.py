@@ -176,22 +176,6 @@ def hybrid_rank(structured: DataFrame, semantic: DataFrame, k: int) -> DataFrame
     return both.select("key", F.least(F.lit(1.0), score).alias("score")).orderBy(F.desc(F.round("score", 9)), "key").limit(k)
 
 
-def pareto_levels(df: DataFrame, key: str, up: list[str], levels: int = 3) -> DataFrame:
-    """key and level (1: the front) of the first levels of non-dominated rows; rows of equal figures share a level."""
-    rest, out = df.select(F.col(key).alias("key"), *up).cache(), None
-    for level in range(1, levels + 1):
-        # only rows that lead their first figure's group can dominate; pairs are made of those few
-        best = rest.groupBy(up[0]).agg(*[F.max(c).alias(c) for c in up[1:]]) if len(up) == 2 else rest.select(*up).distinct()
-        running = best.withColumn("_m", F.max(up[1]).over(Window.orderBy(F.desc(up[0])).rowsBetween(Window.unboundedPreceding, -1))) if len(up) == 2 else None
-        if running is None:
-            raise ValueError("two figures are compared")
-        front = running.where(F.col("_m").isNull() | (F.col(up[1]) > F.col("_m"))).select(*up)
-        taken = rest.join(front, up, "left_semi").withColumn("level", F.lit(level))
-        out = taken if out is None else out.unionByName(taken)
-        rest = rest.join(front, up, "left_anti").cache()
-    return out.select("key", "level")
-
-
 def lin_ucb(df: DataFrame, arm: str, features: list[str], reward: str, alpha: float = 1.0) -> DataFrame:
     """arm, mean and bound of each arm at the mean context: ridge estimates from each arm's sums, a small system an arm."""
     x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]

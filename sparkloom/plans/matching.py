@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom import functions as fn
 from sparkloom.operators import joining
+from sparkloom.operators.nearest import nearest
 from sparkloom.sources import table
 
 
@@ -184,47 +184,67 @@ SELECT id, match_id, round(r, 6) AS ratio FROM s WHERE r >= 0.55 QUALIFY row_num
 
 
 def fuzzy_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark topics without those that an earlier one resembles (words sorted, 80 % alike at least)."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("title"))
+    """Benchmark passages without those that an earlier one resembles (words of whole texts sorted, 80 % alike at least)."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("title"))
     again = b.select((F.col("id") + 1000).alias("id"), F.concat(F.lit("The "), "title").alias("title"))
     return joining.fuzzy_dedupe(b.unionByName(again), 0.8).select("id")
 
 
-FUZZY_DEDUPE_SQL = """WITH b AS (SELECT item_id AS id, substr(text, 1, 60) AS title FROM benchmark UNION ALL SELECT item_id + 1000, 'The ' || substr(text, 1, 60) FROM benchmark),
-w AS (SELECT id, list_sort(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: x <> '')) AS l FROM b), s AS (SELECT id, array_to_string(l, ' ') AS t, list_distinct(l) AS l FROM w), u AS (SELECT id, t, unnest(l) AS x FROM s),
+FUZZY_DEDUPE_SQL = """
+WITH b AS (SELECT item_id AS id, text AS title FROM benchmark UNION ALL SELECT item_id + 1000, 'The ' || text FROM benchmark),
+w AS (SELECT id, list_sort(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: x <> '')) AS l FROM b),
+s AS (SELECT id, array_to_string(l, ' ') AS t, list_distinct(l) AS l FROM w),
+u AS (SELECT id, t, unnest(l) AS x FROM s),
 p AS (SELECT DISTINCT a.id AS a, b.id AS b, a.t AS ta, b.t AS tb FROM u a JOIN u b ON a.x = b.x AND a.id < b.id)
 SELECT id FROM b WHERE id NOT IN (SELECT b FROM p WHERE 1 - levenshtein(ta, tb) / greatest(length(ta), length(tb)) >= 0.8)"""
 
 
 def cosine_join(spark: SparkSession, d: str) -> DataFrame:
-    """For every hundredth vector, the three of its own label with the largest cosine."""
+    """For every hundredth vector, the three of all others with the largest cosine."""
     v = table(spark, d, "embeddings")
-    return joining.top_similar(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", ["label"], fn.cosine, 3).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 3).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-_V = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
-COSINE_SQL = f"WITH {_V} SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q JOIN v c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, c.e) DESC, c.vec_id) <= 3"
+_V = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+COSINE_SQL = f"""
+WITH {_V}, s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.e), 9) AS s
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, round(s, 6) AS score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 3"""
 
 
 def euclidean_join(spark: SparkSession, d: str) -> DataFrame:
+    """For every hundredth vector, the three nearest of all others."""
     v = table(spark, d, "embeddings")
-    return joining.top_similar(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", ["label"], lambda a, b: -fn.euclidean(a, b), 3).select("query_id", "vec_id", F.round(-F.col("score"), 6).alias("distance"))
+    return nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 3, "euclidean").select("query_id", "vec_id", F.round(-F.col("score"), 6).alias("distance"))
 
 
-EUCLID_SQL = f"WITH {_V} SELECT q.vec_id AS query_id, c.vec_id, round(list_distance(q.e, c.e), 6) AS distance FROM v q JOIN v c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, c.e), c.vec_id) <= 3"
+EUCLID_SQL = f"""
+WITH {_V}, s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, round(list_distance(q.e, c.e), 9) AS s
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, round(s, 6) AS distance FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s, vec_id) <= 3"""
 
 
 def numeric_key_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Experiments most like every hundredth order, by the cosine of the figures that both have, among those of one priority and month."""
-    o = table(spark, d, "orders").join(table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("p"), F.avg("l_discount").alias("dc")), "o_orderkey")
-    o = o.select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.array(F.col("q"), F.col("p") / 1000, F.col("dc") * 100).alias("v"))
-    found = joining.top_similar(o.where("o_orderkey % 100 = 0"), o, "o_orderkey", "v", ["o_orderpriority", "month"], fn.cosine, 5)
+    """Experiments most like every hundredth order, by the cosine of their figures, among all orders."""
+    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    v = F.array(F.sum("l_quantity").cast("double"), F.sum("l_extendedprice").cast("double") / 1000, F.avg("l_discount").cast("double") * 100)
+    o = table(spark, d, "orders").select("o_orderkey").join(l.agg(v.alias("v")), "o_orderkey")
+    found = nearest(o.where("o_orderkey % 100 = 0"), o, "o_orderkey", "v", 5)
     return found.where("score > 0").select("query_id", F.col("o_orderkey").alias("match_id"), F.round("score", 6).alias("score"))
 
 
-NUMERIC_SQL = """WITH l AS (SELECT l_orderkey, [sum(l_quantity), sum(l_extendedprice) / 1000, avg(l_discount) * 100] AS v FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, o_orderpriority AS p, strftime(o_orderdate, '%Y-%m') AS m, v FROM orders JOIN l ON l_orderkey = o_orderkey),
-s AS (SELECT a.o_orderkey AS query_id, b.o_orderkey AS match_id, list_cosine_similarity(a.v, b.v) AS s FROM o a JOIN o b ON a.p = b.p AND a.m = b.m AND a.o_orderkey <> b.o_orderkey WHERE a.o_orderkey % 100 = 0)
-SELECT query_id, match_id, round(s, 6) AS score FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, match_id) <= 5"""
+NUMERIC_SQL = """
+WITH l AS (SELECT l_orderkey, [sum(l_quantity), sum(l_extendedprice) / 1000, avg(l_discount) * 100]::DOUBLE[] AS v FROM lineitem GROUP BY 1),
+o AS (SELECT o_orderkey, v FROM orders JOIN l ON l_orderkey = o_orderkey),
+s AS (
+  SELECT a.o_orderkey AS query_id, b.o_orderkey AS match_id, round(list_cosine_similarity(a.v, b.v), 9) AS s
+  FROM o a JOIN o b ON a.o_orderkey <> b.o_orderkey WHERE a.o_orderkey % 100 = 0)
+SELECT query_id, match_id, round(s, 6) AS score FROM s WHERE s > 0
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, match_id) <= 5"""
 
 _SIGNATURES = "CASE WHEN p_size < 15 THEN 'exponential decay' WHEN p_size < 30 THEN 'exponential growth' ELSE 'linear' END AS shape, p_size % 2 = 0 AS monotonic, p_type AS domain, (p_size - 25.0) AS slope, p_size % 14 AS bends, CASE WHEN p_size % 3 = 0 THEN 1.0 END AS frequency"
 

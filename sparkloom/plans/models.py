@@ -221,20 +221,6 @@ s AS (SELECT key, 5 * len(list_intersect(w, q)) / len(list_distinct(list_concat(
 SELECT key, round(least(1, 0.65 * least(1, coalesce(s, 0)) + 0.35 * coalesce(m, 0) + CASE WHEN s IS NOT NULL AND m IS NOT NULL THEN 0.1 ELSE 0 END), 6) AS score FROM f FULL JOIN m USING (key) ORDER BY score DESC, key LIMIT 10"""
 
 
-def pareto_levels(spark: SparkSession, d: str) -> DataFrame:
-    """The first three levels of parts that are large and dear."""
-    p = table(spark, d, "part")
-    return models.pareto_levels(p, "p_partkey", ["p_size", "p_retailprice"]).select(F.col("key").alias("p_partkey"), "level")
-
-
-def _pareto_sql() -> str:
-    parts, rest = [], "part"
-    for k in (1, 2, 3):
-        parts += [f"l{k} AS (SELECT p_partkey, p_size, p_retailprice FROM {rest} a WHERE NOT EXISTS (SELECT 1 FROM {rest} b WHERE b.p_size >= a.p_size AND b.p_retailprice >= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice > a.p_retailprice)))", f"r{k} AS (SELECT * FROM {rest} WHERE p_partkey NOT IN (SELECT p_partkey FROM l{k}))"]
-        rest = f"r{k}"
-    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT p_partkey, {k} AS level FROM l{k}" for k in (1, 2, 3))
-
-
 def bandit_linear(spark: SparkSession, d: str) -> DataFrame:
     e = table(shipped(spark), d, "events").select("event_type", (F.hour("ts") / 24).alias("hour"), (F.weekday("ts") / 7).alias("weekday"), F.col("value").alias("reward"))
     return models.lin_ucb(e, "event_type", ["hour", "weekday"], "reward").select("event_type", F.round("mean", 4).alias("mean"), F.round("bound", 4).alias("bound"))
@@ -335,7 +321,6 @@ QUERIES = {
     "parsed_interventions": (parsed_interventions, INTERVENTION_SQL),
     "hashed_tfidf": (hashed_tfidf, f"WITH {_TFIDF} SELECT key, count(*) AS n, round(sum(weight), 6) AS total, round(max(weight), 6) AS top FROM tw GROUP BY 1"),
     "hybrid_retrieval": (hybrid_retrieval, HYBRID_SQL),
-    "pareto_levels": (pareto_levels, _pareto_sql()),
     "bandit_linear": (bandit_linear, None),
     "leaderboard": (leaderboard, LEADER_SQL),
     "false_fires": (false_fires, None),
