@@ -143,6 +143,32 @@ def cox(df: DataFrame, duration: str, event: Column, covariates: list[str], roun
     return out.withColumns({"hazard_ratio": F.exp("coefficient"), "low": F.exp(F.col("coefficient") - normal_quantile(0.975) * F.col("se")), "high": F.exp(F.col("coefficient") + normal_quantile(0.975) * F.col("se")), "p": normal_tail(F.col("coefficient") / F.col("se"))})
 
 
+def proportional(df: DataFrame, duration: str, event: Column, covariates: list[str], coefficients: list[float]) -> DataFrame:
+    """covariate, n (events), chi2, p and violated (p under 0.05): whether a covariate's residuals move with the rank of time.
+
+    A residual is an event's value less the mean of those at risk then (all whose time is no less), weighted by
+    the hazards of the given coefficients. Equal times share their mean rank, so the order of rows doesn't matter. No rows where
+    fewer than five events are there; a covariate whose residuals don't vary has chi2 0.
+    """
+    score = reduce(lambda x, y: x + y, [F.col(c) * float(v) for c, v in zip(covariates, coefficients, strict=True)])
+    rows = df.select(F.col(duration).cast("double").alias("time"), event.alias("_e"), *[F.col(c).cast("double").alias(c) for c in covariates]).dropna()
+    hit, weight = F.col("_e").cast("int"), F.exp(score)
+    sums = {"d": hit, "w": weight} | {f"w{i}": weight * F.col(c) for i, c in enumerate(covariates)} | {f"x{i}": hit * F.col(c) for i, c in enumerate(covariates)} | {f"s{i}": hit * F.col(c) ** 2 for i, c in enumerate(covariates)}
+    by_time = kept(rows.withColumns(sums).groupBy("time").agg(*[F.sum(n).alias(n) for n in sums]))
+    risk = running(by_time, "time", {"rw": "w"} | {f"rw{i}": f"w{i}" for i in range(len(covariates))}, descending=True)
+    told = running(risk, "time", {"upto": "d"}).where("d > 0").withColumn("rank", F.col("upto") - (F.col("d") + 1) / 2)
+    parts = []
+    for i, c in enumerate(covariates):
+        m = F.col(f"rw{i}") / F.col("rw")
+        parts.append(F.struct(F.lit(c).alias("covariate"), (F.col(f"x{i}") - F.col("d") * m).alias("r"), (F.col(f"s{i}") - 2 * m * F.col(f"x{i}") + F.col("d") * m**2).alias("rr")))
+    long = told.select("d", "rank", F.inline(F.array(*parts)))
+    all_ = long.groupBy("covariate").agg(F.sum("d").alias("n"), F.sum("r").alias("r"), F.sum("rr").alias("rr"), F.sum(F.col("rank") * F.col("r")).alias("kr"), F.sum(F.col("d") * F.col("rank")).alias("k"), F.sum(F.col("d") * F.col("rank") ** 2).alias("kk"))
+    n = F.col("n")
+    moved, spread, varied = F.col("kr") - F.col("k") * F.col("r") / n, F.col("kk") - F.col("k") ** 2 / n, (F.col("rr") - F.col("r") ** 2 / n) / (n - 1)
+    out = all_.where("n >= 5").select("covariate", "n", F.when((spread > 0) & (varied > 1e-12), moved**2 / (spread * varied)).otherwise(0.0).alias("chi2"))
+    return out.withColumn("p", chi2_tail(F.col("chi2"), 1)).withColumn("violated", F.col("p") < 0.05)
+
+
 def ols(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """term, estimate, se, n and r2 of a regression on complete rows: one pass, a small system on the driver."""
     names = ["_one", *features]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import normal_quantile
+from sparkloom.operators.preflight import numbered
 
 Z = normal_quantile(0.975)
 
@@ -90,11 +91,12 @@ def two_sided(df: DataFrame, keys: list[str], order: list[str], value: Column, e
 
 
 def lag_relations(wide: DataFrame, order: str, names: list[str], most: int = 5) -> DataFrame:
-    """a, b, lag, r of the strongest lag of each ordered pair of columns, and its strength: one pass of windows over one row for each time."""
-    w = Window.orderBy(order)
-    shifted = wide.withColumns({f"_{b}_{k + most}": F.lag(b, k).over(w) if k >= 0 else F.lead(b, -k).over(w) for b in names for k in range(-most, most + 1)})
-    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("lag"), F.corr(F.when(F.col(f"_{b}_{k + most}").isNotNull(), F.col(a)), F.col(f"_{b}_{k + most}")).alias("r")) for a in names for b in names if a != b for k in range(-most, most + 1)]
-    long = shifted.agg(F.array(*parts).alias("p")).select(F.inline("p"))
+    """a, b, lag, r of the strongest lag of each ordered pair of columns, and its strength. Rows are numbered by ranges and meet their shifted copies by number: no task holds them all."""
+    rows = numbered(wide, [order]).select("pos", *names)
+    lags = F.explode(F.sequence(F.lit(-most), F.lit(most)))
+    shifted = rows.withColumn("lag", lags).select((F.col("pos") + F.col("lag")).alias("pos"), "lag", *[F.col(b).alias(f"_{b}") for b in names])
+    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, f"_{b}").alias("r")) for a in names for b in names if a != b]
+    long = rows.join(shifted, "pos").groupBy("lag").agg(F.array(*parts).alias("p")).select("lag", F.inline("p"))
     best = long.groupBy("a", "b").agg(F.max_by(F.struct("lag", "r"), F.struct(F.round(F.abs("r"), 9), -F.abs("lag"), -F.col("lag"))).alias("m")).select("a", "b", "m.lag", "m.r")
     size = F.abs("r")
     return best.withColumn("strength", F.when(size >= 0.7, "strong").when(size >= 0.4, "medium").when(size >= 0.2, "weak").otherwise("none"))

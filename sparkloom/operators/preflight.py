@@ -21,10 +21,15 @@ NEGLIGIBLE, NEAR_TOTAL, EDGE, CROWDED, TIMES, BLOCK, BLOCK_SHARE = 0.01, 0.80, 0
 STEPS = ((1, "1s"), (60, "1min"), (300, "5min"), (900, "15min"), (3600, "1h"), (21600, "6h"), (86400, "1D"), (604800, "7D"))
 
 
+def _leading(text: Column) -> Column:
+    """The first six bytes of a text as a number, in the order of texts."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 def numbered(df: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
     """pos (from 0 in the order) and total of each row: counts of ranges of the first order column are few, rows are numbered within them."""
     kind = dict(df.dtypes)[order[0]]
-    first = F.unix_seconds(F.col(order[0]).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(order[0]) if kind in ("bigint", "int", "double") else F.lit(0)
+    first = F.unix_seconds(F.col(order[0]).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(order[0]) if kind in ("bigint", "int", "double") else _leading(F.col(order[0])) if kind == "string" else F.lit(0)
     bounds = df.select(first.alias("o")).stat.approxQuantile("o", [i / parts for i in range(1, parts)], 0.01)
     part = reduce(lambda a, b: a + b, [(first > b).cast("int") for b in sorted(set(bounds))], F.lit(0))
     cut = df.withColumn("_part", F.coalesce(part, F.lit(0)))  # nulls come first

@@ -71,6 +71,42 @@ def cox_hazards(spark: SparkSession, d: str) -> DataFrame:
     return estimates.cox(o, "days", F.col("event") == 1, ["urgent", "open_"]).select("covariate", *[F.round(c, 5).alias(c) for c in ("coefficient", "se", "hazard_ratio", "low", "high", "p")])
 
 
+def hazards_proportional(spark: SparkSession, d: str) -> DataFrame:
+    """The hazard of urgent orders and whether it stays the same over time."""
+    o = _orders(spark, d).withColumn("urgent", F.col("o_orderpriority").startswith("1").cast("int"))
+    beta = estimates.cox(o, "days", F.col("event") == 1, ["urgent"]).first()["coefficient"]
+    found = estimates.proportional(o, "days", F.col("event") == 1, ["urgent"], [beta])
+    return found.select("covariate", "n", F.round(F.lit(beta), 5).alias("coefficient"), F.round("chi2", 4).alias("chi2"), F.round("p", 4).alias("p"), "violated")
+
+
+def _newton_sql(rounds: int = 8) -> str:
+    """Newton's rounds for one covariate, each a table of one number, and the residuals at the last."""
+    parts = ["b0 AS (SELECT 0.0::DOUBLE AS b)"]
+    for k in range(rounds):
+        parts.append(f"""b{k + 1} AS (
+  SELECT any_value(b) + sum(dx - d * m) / sum(d * (m - m * m)) AS b
+  FROM (SELECT b, d, dx, sum(n1 * exp(b)) OVER v / sum(n0 + n1 * exp(b)) OVER v AS m FROM t, b{k} WINDOW v AS (ORDER BY days DESC)) WHERE d > 0)""")
+    return ",\n".join(parts)
+
+
+_ROUNDS = 8
+PROPORTIONAL_SQL = f"""
+WITH {_O},
+t AS (
+  SELECT days, count(*) FILTER (NOT starts_with(o_orderpriority, '1')) AS n0, count(*) FILTER (starts_with(o_orderpriority, '1')) AS n1,
+    sum(event) AS d, sum(event * starts_with(o_orderpriority, '1')::INT) AS dx FROM o GROUP BY 1),
+{_newton_sql(_ROUNDS)},
+r AS (
+  SELECT b, d, dx, sum(n1 * exp(b)) OVER v / sum(n0 + n1 * exp(b)) OVER v AS m, sum(d) OVER (ORDER BY days) - (d + 1) / 2 AS k
+  FROM t, b{_ROUNDS} WINDOW v AS (ORDER BY days DESC)),
+s AS (
+  SELECT any_value(b) AS b, sum(d) AS n, sum(dx - d * m) AS r, sum(dx - 2 * m * dx + d * m * m) AS rr, sum(k * (dx - d * m)) AS kr, sum(d * k) AS k, sum(d * k * k) AS kk
+  FROM r WHERE d > 0),
+c AS (SELECT b, n, (kr - k * r / n) ** 2 / ((kk - k * k / n) * ((rr - r * r / n) / (n - 1))) AS chi2 FROM s),
+p AS (SELECT *, {fn.erfc_sql("sqrt(chi2 / 2)")} AS p FROM c)
+SELECT 'urgent' AS covariate, n::BIGINT AS n, round(b, 5) AS coefficient, round(chi2, 4) AS chi2, round(p, 4) AS p, p < 0.05 AS violated FROM p"""
+
+
 def _daily_z(spark: SparkSession, d: str) -> DataFrame:
     days = table(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
     g = Window.partitionBy("event_type")
@@ -373,6 +409,7 @@ QUERIES = {
     "survival_median": (survival_median, f"WITH {_KM} SELECT min(time) AS median FROM km WHERE survival <= 0.5"),
     "survival_arms": (survival_arms, ARMS_SQL),
     "cox_hazards": (cox_hazards, None),
+    "hazards_proportional": (hazards_proportional, PROPORTIONAL_SQL),
     "corrected_p_values": (corrected_p_values, f"WITH {_DZ} SELECT event_type, day, round(p, 6) AS p, round(q, 6) AS q, round(bonferroni, 6) AS bonferroni FROM cq"),
     "credibility": (credibility, CREDIBILITY_SQL),
     "regression_terms": (regression_terms, OLS_SQL),
