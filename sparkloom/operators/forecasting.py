@@ -33,8 +33,8 @@ def flat(rows: DataFrame, keys: list[str], horizon: int, last: int = 30) -> Data
 def ar1(rows: DataFrame, keys: list[str], horizon: int) -> DataFrame:
     """x(t + h) = mean + phi^h (x(t) - mean), the variance of the steps summed up; phi is held within 0.999."""
     before = rows.withColumn("b", F.lag("x").over(Window.partitionBy(*keys).orderBy("i")))
-    told = before.groupBy(*keys).agg(F.avg("x").alias("m"), (F.covar_pop("x", "b") / F.var_pop(F.when(F.col("b").isNotNull(), F.col("b")))).alias("raw"), F.max_by("x", "i").alias("last"))
-    told = told.withColumn("phi", F.greatest(F.lit(-0.999), F.least(F.lit(0.999), F.coalesce("raw", F.lit(0.0)))))
+    told = before.groupBy(*keys).agg(F.avg("x").alias("m"), F.covar_pop("x", "b").alias("moved"), F.var_pop("b").alias("spread"), F.max_by("x", "i").alias("last"))
+    told = told.withColumn("phi", F.greatest(F.lit(-0.999), F.least(F.lit(0.999), F.coalesce(F.when(F.col("spread") > 0, F.col("moved") / F.col("spread")), F.lit(0.0)))))
     rest = before.join(told, keys).where("b IS NOT NULL").groupBy(*keys).agg(F.coalesce(F.stddev_pop(F.col("x") - F.col("m") - F.col("phi") * (F.col("b") - F.col("m"))), F.lit(0.0)).alias("s"))
     square = F.col("phi") ** 2
     sd = F.col("s") * F.sqrt((1 - square ** F.col("h")) / (1 - square))

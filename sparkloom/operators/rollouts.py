@@ -96,7 +96,7 @@ def stepped(laws: DataFrame, keys: list[str], steps: int = 50, limit: float = 5.
     path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array(start), lambda told, i: F.concat(told, F.array(step(F.element_at(told, -1), i))))
     long = laws.where(law.isin(*LAWS) & F.col("y").isNotNull()).select(*keys, "law", dt.alias("_dt"), F.posexplode(path).alias("step", "_p")).where("step > 0")
     value, wide = F.col("_p.y"), Z * F.col("_p.s")
-    told = long.withColumns({"value": value, "low": value - wide, "high": value + wide, "paused": (F.abs(value) > 1e-9) & (wide / F.abs(value) > limit)})
+    told = long.withColumns({"value": value, "low": value - wide, "high": value + wide, "paused": (F.abs(value) > 1e-9) & (wide > limit * F.abs(value))})
     first = F.min(F.when(F.col("paused"), F.col("step"))).over(Window.partitionBy(*keys, "law"))
     confidence = F.greatest(F.lit(0.05), 1 / (1 + (F.col("step") - 1) * 0.05))
     return told.withColumn("_first", first).where(F.col("_first").isNull() | (F.col("step") <= F.col("_first"))).select(*keys, "law", "step", (F.col("step") * F.col("_dt")).alias("t"), "value", "low", "high", confidence.alias("confidence"), "paused")
