@@ -46,7 +46,7 @@ def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), v.alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull()).where(sound)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", itself: bool = False, block_bytes: int = 32 << 20) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", itself: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
     """query_id, key and score of the k nearest rows of each query: all, if fewer; ties to the smaller key.
 
     metric is cosine (0 where a vector has no length), inner or euclidean (the score is the
@@ -81,20 +81,27 @@ def _block(asked: DataFrame, known: DataFrame, k: int, metric: str, itself: bool
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, pd.DataFrame] = {}
+        # the score that a row must reach: the worst of a query's best so far, once it has k
+        worst = {n: np.full(len(names), -np.inf) for n, (names, _) in shared.value.items()}
         for f in frames:
             lengths = f["v"].map(len)
             for n, (names, q) in shared.value.items():
                 some = f[lengths == n]
-                for at in range(0, len(some), 2000):
-                    part = some.iloc[at : at + 2000]
+                step = max(64, 4_000_000 // len(q))
+                for at in range(0, len(some), step):
+                    part = some.iloc[at : at + step]
                     keys = part["key"].to_numpy()
                     s = np.round(_scores(metric, q, np.stack(part["v"].to_numpy()).reshape(len(part), n)), DECIMALS) + 0.0
                     if not itself:
                         s = np.where(names[:, None] == keys[None, :], -np.inf, s)
                     floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(q), -np.inf)
-                    i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+                    i, j = np.nonzero((s >= np.maximum(floor, worst[n])[:, None]) & (s > -np.inf))
+                    if not len(i):
+                        continue
                     met = pd.DataFrame({"q": i, "key": keys[j], "score": s[i, j]})
                     best[n] = _best(pd.concat([best[n], met]) if n in best else met, k)
+                    full = best[n].groupby("q")["score"].agg(["size", "min"]).query("size >= @k")
+                    worst[n][full.index.to_numpy()] = full["min"].to_numpy()
         for n, rows in best.items():
             names = shared.value[n][0]
             yield pd.DataFrame({"query_id": names[rows["q"].to_numpy()], "key": rows["key"].to_numpy(), "score": rows["score"].to_numpy()})

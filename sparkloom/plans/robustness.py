@@ -39,14 +39,14 @@ def weight_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     groups = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("a"), F.max("value").alias("m"))
     risk = lambda w: F.avg(F.col("n") * (w["average"] * F.col("a") + w["highest"] * F.col("m")))
     found = robustness.weight_changes(groups, {"average": 0.5, "highest": 0.5}, risk)
-    return found.select("weight", "change", F.round("base", 3).alias("base"), F.round("delta", 3).alias("delta"))
+    return found.select("weight", "change", F.round("base", 5).alias("base"), F.round("delta", 5).alias("delta"))
 
 
 WEIGHTS_SQL = """
 WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS a, max(value) AS m FROM events GROUP BY 1),
 c AS (SELECT unnest([-0.2, -0.1, 0.1, 0.2])::DOUBLE AS change), b AS (SELECT avg(n * (0.5 * a + 0.5 * m)) AS base FROM g)
-SELECT 'average' AS weight, change, round(any_value(base), 3) AS base, round(avg(n * 0.5 * change * a), 3) AS delta FROM g, c, b GROUP BY 2
-UNION ALL SELECT 'highest', change, round(any_value(base), 3), round(avg(n * 0.5 * change * m), 3) FROM g, c, b GROUP BY 2"""
+SELECT 'average' AS weight, change, round(any_value(base), 5) AS base, round(avg(n * 0.5 * change * a), 5) AS delta FROM g, c, b GROUP BY 2
+UNION ALL SELECT 'highest', change, round(any_value(base), 5), round(avg(n * 0.5 * change * m), 5) FROM g, c, b GROUP BY 2"""
 
 
 def forecast_rolling(spark: SparkSession, d: str) -> DataFrame:
