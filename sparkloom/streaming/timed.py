@@ -190,6 +190,16 @@ def first_seen(events: DataFrame, identity: str, at: str, size: int = 5000, shar
     return rows.groupBy("shard").transformWithStateInPandas(_Seen(max(1, size // shards)), "identity string, at long", "Append", "None")
 
 
+def first_times(events: DataFrame, identity: str, at: str) -> DataFrame:
+    """identity and at (microseconds) of the first row of every identity, of any number of them: a least time for each, kept in Spark's own state; nothing is forgotten.
+
+    In update mode a row that comes late but is earlier puts its identity out once more, so the last row of an identity counts.
+    """
+    _ready(events.sparkSession)
+    name = F.col(identity).cast("string")
+    return events.where(name.isNotNull()).groupBy(name.alias("identity")).agg(F.min(F.unix_micros(at)).alias("at"))
+
+
 def rolling_analysis(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], folder: str, order: list[str], rows: int | None = 10_000, age: float | None = None, each: str | None = None, remembered: int = 5000) -> None:
     """Runs analyse() on the last rows of a stream after each of its micro-batches and tells what changed.
 
