@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import jaccard
 from sparkloom.lineage import kept
+from sparkloom.packaging import shipped
 
 #: Weights of the parts of each score, least scores and lengths of the two lists.
 RELEVANCE = {"keyword": 0.40, "kind": 0.25, "confidence": 0.15, "referent": 0.10, "severity": 0.10}
@@ -199,6 +200,7 @@ def levels(df: DataFrame, key: str, figures: list[str], most: int = 3, minimise:
     Rows of equal figures share a level; rows with a null or undefined figure have none. Every level is one pass over
     the distinct figures that are left.
     """
+    shipped(df.sparkSession)
     sign = -1.0 if minimise else 1.0
     rows = df.select(F.col(key).alias("key"), *[(F.col(f).cast("double") * sign).alias(f) for f in figures]).where(reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(f) for f in figures]))
     rest, out = kept(rows.select(*figures).distinct()), None
