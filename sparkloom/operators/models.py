@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from sparkloom.lineage import kept
 
-from .estimates import neighbours
+from .estimates import neighbours, ranked_neighbours
 
 
 def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 50, sample: int = 256, seed: int = 7) -> DataFrame:
@@ -58,10 +58,22 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 5
 
 def local_outliers(df: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     """key and lof: the mean reachability density of a point's k nearest over its own."""
-    near = neighbours(df, key, x, y, k).cache()
+    return _density_ratios(neighbours(df, key, x, y, k))
+
+
+def local_outliers_at(df: DataFrame, key: str, x: str, y: str, counts: tuple[int, ...]) -> DataFrame:
+    """key, k and lof at several neighbourhood sizes: the nearest are looked for once, at the largest size."""
+    near, found = ranked_neighbours(df, key, x, y, max(counts)), None
+    for k in counts:
+        one = _density_ratios(near.where(F.col("r") <= k)).select("key", F.lit(k).alias("k"), "lof")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _density_ratios(near: DataFrame) -> DataFrame:
     edge = near.groupBy("key").agg(F.max("distance").alias("kd"))
     reach = near.join(edge.select(F.col("key").alias("other"), "kd"), "other").withColumn("reach", F.greatest("distance", "kd"))
-    density = reach.groupBy("key").agg((1 / F.greatest(F.avg("reach"), F.lit(1e-12))).alias("density"))
+    density = kept(reach.groupBy("key").agg((1 / F.greatest(F.avg("reach"), F.lit(1e-12))).alias("density")))
     others = near.select("key", "other").join(density.select(F.col("key").alias("other"), F.col("density").alias("od")), "other")
     return others.groupBy("key").agg(F.avg("od").alias("od")).join(density, "key").select("key", (F.col("od") / F.col("density")).alias("lof"))
 
