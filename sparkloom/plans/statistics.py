@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import erfc_sql, normal_tail
-from sparkloom.operators import estimates, stats
+from sparkloom.operators import estimates, graphs, stats
 from sparkloom.sources import table
 
 
@@ -184,19 +184,18 @@ UNION ALL SELECT 'day', round(sum(n * (m - g) * (m - g)) / any_value(t), 6) FROM
 """
 
 
+def _hours(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("user_id", F.date_trunc("hour", "ts").alias("h"))
+
+
 def graph_measures(spark: SparkSession, d: str) -> DataFrame:
-    """Degree of each user in the graph of users who share an hour; edges are made once for each pair and hour."""
-    e = table(spark, d, "events").select("user_id", F.date_trunc("hour", "ts").alias("h")).distinct()
-    edges = e.join(e.select(F.col("user_id").alias("other"), "h"), "h").where("user_id < other").select("user_id", "other").distinct()
-    both = edges.unionByName(edges.select(F.col("other").alias("user_id"), F.col("user_id").alias("other")))
-    return both.groupBy("user_id").agg(F.count("*").alias("degree"))
+    """Degree of each user in the graph of users who share an hour."""
+    return graphs.shared_degrees(_hours(spark, d), "user_id", "h").withColumnRenamed("node", "user_id")
 
 
 def triangles(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("user_id", F.date_trunc("hour", "ts").alias("h")).distinct()
-    edges = e.join(e.select(F.col("user_id").alias("other"), "h"), "h").where("user_id < other").select(F.col("user_id").alias("a"), F.col("other").alias("b")).distinct()
-    paths = edges.join(edges.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
-    return paths.join(edges.select("a", F.col("b").alias("c")), ["a", "c"], "left_semi").agg(F.count("*").alias("n"))
+    """How many triples of users share an hour, two and two."""
+    return spark.createDataFrame([(graphs.shared_triangles(_hours(spark, d), "user_id", "h"),)], "n long")
 
 
 _EDGE = "WITH e AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS h FROM events), g AS (SELECT DISTINCT x.user_id AS a, y.user_id AS b FROM e x JOIN e y USING (h) WHERE x.user_id < y.user_id)"
