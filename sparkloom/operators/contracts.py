@@ -39,11 +39,16 @@ def evaluated(bundles: DataFrame, contracts: list[tuple[str, Column, str, str, A
 
 def fired(decisions: DataFrame, at: str, seconds: int, most: int, keys: list[str], order: list[str], dry_run: bool = False) -> DataFrame:
     """outcome of each decision: not_satisfied, rate_limited (more than `most` satisfied ones within `seconds`), dry_run or fired."""
-    time = F.unix_micros(at)
-    span = Window.partitionBy(*keys).orderBy(time).rangeBetween(-seconds * 1_000_000 + 1, 0)
+    time, reach = F.unix_micros(at), seconds * 1_000_000
+    # stretches of time, so that no task holds all of a key; what can count in the next stretch is lent to it
+    wide = 4 * reach
+    slice_ = F.floor(time / wide)
+    lent = decisions.where(F.col("satisfied") & (F.pmod(time, F.lit(wide)) > wide - reach)).withColumns({"_slice": slice_ + 1, "_own": F.lit(False)})
+    cut = decisions.withColumns({"_slice": slice_, "_own": F.lit(True)}).unionByName(lent)
+    span = Window.partitionBy(*keys, "_slice").orderBy(time).rangeBetween(-reach + 1, 0)
     recent = F.count_if("satisfied").over(span)
     outcome = F.when(~F.col("satisfied"), "not_satisfied").when(F.col("_recent") > most, "rate_limited").otherwise("dry_run" if dry_run else "fired")
-    return decisions.withColumn("_recent", recent).withColumn("outcome", outcome).drop("_recent")
+    return cut.withColumn("_recent", recent).where("_own").withColumn("outcome", outcome).drop("_recent", "_slice", "_own")
 
 
 def entry_errors(entries: DataFrame) -> DataFrame:
