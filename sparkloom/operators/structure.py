@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators.estimates import quantiles
+
 from .profile import NA_TOKENS, numeric_columns
 
 #: Parts of names that tell what a column holds.
@@ -130,11 +132,15 @@ def daily(df: DataFrame, at: str, values: list[str]) -> DataFrame:
 
 
 def target_choice(df: DataFrame) -> DataFrame:
-    """The numeric column that makes the best target: by name, then by the spread of its middle 80 % in deviations."""
+    """The numeric column that makes the best target: by name, then by the spread of its middle 80 % in deviations; quantiles by running counts, so no task holds a column's values. A column without spread has no score."""
     cols = numeric_columns(df)
     name = lambda c: sum(2.0 for t in ("count", "total", "sum", "amount", "value", "rate", "injur", "killed", "fatal", "crash", "collision") if t in c) - 6.0 * bool(re.search(ID_NAMES + "|key$", c)) - 10.0 * bool(re.search("latitude|longitude|^lat$|^lon$", c))
-    parts = [F.struct(F.lit(c).alias("column"), (F.lit(name(c.lower())) + (F.percentile(c, F.lit(0.9)) - F.percentile(c, F.lit(0.1))) / F.stddev_pop(c) + 0.5).alias("score")) for c in cols]
-    return df.agg(F.array(*parts).alias("p")).select(F.inline("p")).orderBy(F.desc("score"), "column").limit(1)
+    spread = df.agg(*[F.stddev_pop(c).alias(f"_{i}") for i, c in enumerate(cols)]).first() if cols else []
+    scores = []
+    for c, sd in zip(cols, spread, strict=True):
+        low, high = quantiles(df.select(c), c, [0.1, 0.9]) if sd else (None, None)
+        scores.append((c, float(name(c.lower()) + (high - low) / sd + 0.5) if sd else None))
+    return df.sparkSession.createDataFrame(scores, "column string, score double").orderBy(F.desc("score"), "column").limit(1)
 
 
 def canonical_time(df: DataFrame, stamp: str, order: str) -> DataFrame:
