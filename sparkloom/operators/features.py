@@ -40,14 +40,16 @@ def contributors(df: DataFrame, key: str, columns: list[str], most: int = 20, pa
     A robust z-score is 0.6745 times the distance from the median over the median distance; a column whose
     median distance is 0 has none, a null value 0. Ties go to the smaller key and the earlier name.
     """
-    x = {c: F.col(c).cast("double") for c in columns}
+    # read by every pass over a column: worked out once
+    df = kept(df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in columns]))
+    x = {c: F.col(c) for c in columns}
     z = {}
     for c, v in x.items():
         middle = quantiles(df.select(v.alias("x")), "x", [0.5])[0]
         spread = quantiles(df.select(F.abs(v - middle).alias("x")), "x", [0.5])[0]
         z[c] = F.coalesce(F.abs(0.6745 * (v - middle) / spread), F.lit(0.0)) if spread > 0 else F.lit(0.0)
     told = F.sort_array(F.array(*[F.struct((-v).alias("s"), F.lit(c).alias("c")) for c, v in z.items()]))
-    top = df.select(F.col(key).alias("key"), told.alias("t")).withColumn("score", -F.col("t")[0]["s"]).orderBy(F.desc("score"), "key").limit(most)
+    top = df.select(F.col("_key").alias("key"), told.alias("t")).withColumn("score", -F.col("t")[0]["s"]).orderBy(F.desc("score"), "key").limit(most)
     return top.select("key", "score", F.posexplode(F.slice("t", 1, parts)).alias("p", "x")).select("key", "score", (F.col("p") + 1).alias("place"), F.col("x.c").alias("column"), (-F.col("x.s")).alias("z"))
 
 
