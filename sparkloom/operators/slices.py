@@ -148,28 +148,35 @@ def profile(df: DataFrame, keys: list[str], order: list[str], value: str, window
     return told.groupBy(*keys, "at").agg(F.min(F.struct("distance", "nearest")).alias("best")).select(*keys, "at", "best.distance", "best.nearest")
 
 
+def _picked(found: DataFrame, keys: list[str], window: int, kind: str, most: int) -> list[DataFrame]:
+    """kind, rank, at, other and distance of the first rows of a profile that overlap no earlier one, a table each."""
+    left, chosen = found, []
+    for rank in range(1, most + 1):
+        first = F.struct((F.col("distance") if kind == "motif" else -F.col("distance")).alias("by"), "at", "nearest", "distance")
+        best = left.groupBy(*keys).agg(F.min(first).alias("b")).where("b IS NOT NULL")
+        best = kept(best.select(*keys, F.col("b.at").alias("_at"), F.col("b.nearest").alias("_other"), F.col("b.distance").alias("_distance")))
+        chosen.append(best.select(*keys, F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), F.col("_at").alias("at"), F.col("_other").alias("other"), F.col("_distance").alias("distance")))
+        spots, taken = (("at", "nearest"), ("_at", "_other")) if kind == "motif" else (("at",), ("_at",))
+        clear = F.lit(True)
+        for s in spots:
+            for t in taken:
+                clear &= F.abs(F.col(s) - F.col(t)) >= window
+        met = left.join(sized(best), keys) if keys else left.crossJoin(F.broadcast(best))
+        left = met.where(clear).select(*found.columns)
+    return chosen
+
+
+def _together(tables: Sequence[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def motifs_and_discords(found: DataFrame, keys: list[str], window: int, most: int = 3) -> DataFrame:
     """kind (motif or discord), rank, at, other and distance: of a profile the nearest pairs of windows and the windows furthest from all others, none overlapping an earlier one."""
     found = kept(found)
-    chosen = []
-    for kind in ("motif", "discord"):
-        left = found
-        for rank in range(1, most + 1):
-            first = F.struct((F.col("distance") if kind == "motif" else -F.col("distance")).alias("by"), "at", "nearest", "distance")
-            best = left.groupBy(*keys).agg(F.min(first).alias("b")).where("b IS NOT NULL")
-            best = kept(best.select(*keys, F.col("b.at").alias("_at"), F.col("b.nearest").alias("_other"), F.col("b.distance").alias("_distance")))
-            chosen.append(best.select(*keys, F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), F.col("_at").alias("at"), F.col("_other").alias("other"), F.col("_distance").alias("distance")))
-            spots, taken = (("at", "nearest"), ("_at", "_other")) if kind == "motif" else (("at",), ("_at",))
-            clear = F.lit(True)
-            for s in spots:
-                for t in taken:
-                    clear &= F.abs(F.col(s) - F.col(t)) >= window
-            met = left.join(sized(best), keys) if keys else left.crossJoin(F.broadcast(best))
-            left = met.where(clear).select(*found.columns)
-    out = chosen[0]
-    for c in chosen[1:]:
-        out = out.unionByName(c)
-    return out
+    return _together([c for kind in ("motif", "discord") for c in _picked(found, keys, window, kind, most)])
 
 
 def motif_library(told: DataFrame, k: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:

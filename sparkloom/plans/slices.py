@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import slices
+from sparkloom.operators import motifs, slices
 from sparkloom.plans.series import _DAYS, _days
 from sparkloom.packaging import shipped
 from sparkloom.sources import table
@@ -46,8 +46,7 @@ SELECT event_type, p AS "at", round(min(d), 5) AS distance FROM d GROUP BY event
 def sliced_motifs(spark: SparkSession, d: str) -> DataFrame:
     """The three nearest pairs and the three furthest windows of 20 events, of all events of each kind."""
     events = table(shipped(spark), d, "events")
-    found = slices.profile(events, KIND, ORDER, "value", 20)
-    return slices.motifs_and_discords(found, KIND, 20).withColumn("distance", F.round("distance", 6))
+    return motifs.motifs_and_discords(events, KIND, ORDER, "value", 20).withColumn("distance", F.round("distance", 6))
 
 
 def sliced_windows(spark: SparkSession, d: str) -> DataFrame:
