@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,8 +35,8 @@ ROUNDS = 5
 LOOK = 256
 #: Pivots whose cells a window visits that may be a discord.
 VISITS = 32
-#: Windows that are compared at a time, and that go to a slice in one row.
-BLOCK, MANY = 512, 2000
+#: Windows that are compared at a time with pivots and with windows, and that go to a slice in one row.
+SOME, BLOCK, MANY = 128, 512, 2000
 
 
 def _scale(window: int) -> int:
@@ -67,24 +66,41 @@ def _firsts(shape: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
     return np.sort(order[nth < most])
 
 
-def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * (a @ b.T)
+def _left(a: np.ndarray) -> np.ndarray:
+    return np.column_stack([a, (a**2).sum(axis=1), np.ones(len(a), a.dtype)])
+
+
+def _right(b: np.ndarray) -> np.ndarray:
+    """The squared distances of rows of a and b are one product, _left(a) @ _right(b)."""
+    return np.ascontiguousarray(np.column_stack([-2 * b, np.ones(len(b), b.dtype), (b**2).sum(axis=1)]).T)
 
 
 def _apart(d: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, apart: int) -> np.ndarray:
     """Squared distances, infinite between windows that overlap too much; at_b ascends."""
     lo, hi = np.searchsorted(at_b, at_a - apart, "right"), np.searchsorted(at_b, at_a + apart, "left")
-    for i in np.flatnonzero(hi > lo):
-        d[i, lo[i] : hi[i]] = np.inf
+    n = hi - lo
+    r = np.repeat(np.arange(len(at_a)), n)
+    d[r, np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + lo[r]] = np.inf
     return d
 
 
+def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.divmod(np.flatnonzero(mask), mask.shape[1]) if mask.size else (np.zeros(0, int), np.zeros(0, int))
+
+
 def _bytes(packs: list[np.ndarray]) -> pa.Array:
     return pa.array([np.ascontiguousarray(p).tobytes() for p in packs], pa.binary())
 
 
-def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+def _parts(table: pa.Table, window: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, shapes and scaled values of the windows of a cell's packs, by what they are there for."""
+    what = table.column("what").to_pylist()
+    packs = [table.column(c).to_pylist() for c in ("ats", "shapes", "values")]
+    out = {}
+    for kind in (0, 1, 2):
+        at, shape, values = (b"".join([b for b, k in zip(p, what, strict=True) if k == kind]) for p in packs)
+        out[kind] = np.frombuffer(at, np.int64), np.frombuffer(shape, np.uint64), np.frombuffer(values, np.int16).reshape(-1, window).astype(np.float32)
+    return out
 
 
 class _Search:
@@ -157,6 +173,7 @@ class _Search:
             p = np.frombuffer(b"".join(table.column("pivots")[0].as_py()), np.int16).reshape(-1, window).astype(np.float32)
             pp = (p**2).sum(axis=1)
             wide = 2 * np.sqrt(float(pp.max())) if len(p) else 0.0
+            of_pivots = np.ascontiguousarray(np.column_stack([2 * p, -pp]).T)
             near = None
             if "tau" in table.column_names:
                 # half of tau, and of the roundings of both windows
@@ -164,19 +181,19 @@ class _Search:
                 near = (tau * _scale(window) + np.sqrt(window)) / 2 if tau > 0 else 0.0
                 want = np.isin(at, table.column("asked")[0].as_py() or [])
             who, cell, what = [], [], []
-            for i in range(0, len(q), BLOCK):
-                x = q[i : i + BLOCK].astype(np.float32)
-                score = 2 * (x @ p.T) - pp
+            for i in range(0, len(q), SOME):
+                x = q[i : i + SOME].astype(np.float32)
+                score = np.column_stack([x, np.ones(len(x), x.dtype)]) @ of_pivots
                 own = score.argmax(axis=1)
                 best = score[np.arange(len(x)), own]
                 told = [(np.arange(len(x)), own, 0)]
                 if near is not None and near > 0:
-                    r, c = np.nonzero(score >= (best - 2 * near * wide)[:, None])
+                    r, c = _where(score >= (best - np.float32(2 * near * wide))[:, None])
                     gap = np.sqrt(((p[c] - p[own[r]]) ** 2).sum(axis=1))
                     ok = (c != own[r]) & (best[r] - score[r, c] <= 2 * near * gap * 1.000001 + 1)
                     told.append((r[ok], c[ok], 1))
                 if near is not None:
-                    r = np.flatnonzero(want[i : i + BLOCK])
+                    r = np.flatnonzero(want[i : i + SOME])
                     c = np.argsort(-score[r], axis=1, kind="stable")[:, 1 : VISITS + 1]
                     told.append((np.repeat(r, c.shape[1]), c.ravel(), 2))
                 for r, c, kind in told:
@@ -197,16 +214,14 @@ class _Search:
         return self.run(rows, [*self.keys, "slice"], deal, "cell int, what int, ats binary, shapes binary, values binary")
 
     def living(self):
-        """A function from a cell's packs to the places, shapes and values of what lives there."""
-        window, firsts = self.window, self.firsts
+        """A function from a cell's parts to the places, shapes and values of what lives there."""
+        firsts = self.firsts
 
-        def of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            own = table.filter(pc.equal(table.column("what"), 0))
-            at, shape = _joined(own.column("ats"), np.int64), _joined(own.column("shapes"), np.uint64)
-            q = _joined(own.column("values"), np.int16).reshape(-1, window)
+        def of(parts: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at, shape, q = parts[0]
             order = np.argsort(at)
             order = order[_firsts(shape[order], at[order], firsts)]
-            return at[order], shape[order], q[order].astype(np.float32)
+            return at[order], shape[order], q[order]
 
         return of
 
@@ -215,10 +230,11 @@ class _Search:
         living, window, apart, top = self.living(), self.window, self.apart, self.top
 
         def within(table: pa.Table) -> pa.Table:
-            at, shape, q = living(table)
+            at, shape, q = living(_parts(table, window))
             far, near, exact = np.full(len(at), top), np.full(len(at), -1), np.zeros(len(at), bool)
+            all_ = _right(q)
             for i in range(0, len(at), BLOCK):
-                d = _apart(_squares(q[i : i + BLOCK], q), at[i : i + BLOCK], at, apart)
+                d = _apart(_left(q[i : i + BLOCK]) @ all_, at[i : i + BLOCK], at, apart)
                 j = d.argmin(axis=1)
                 least = d[np.arange(len(d)), j]
                 for r in np.flatnonzero(least == 0):
@@ -237,7 +253,8 @@ class _Search:
         living, window, apart = self.living(), self.window, self.apart
 
         def meet(table: pa.Table) -> pa.Table:
-            at, shape, q = living(table)
+            parts = _parts(table, window)
+            at, shape, q = living(parts)
             # windows of a shape that is met again far enough away know their nearest
             order = np.lexsort((at, shape))
             start = np.searchsorted(shape[order], shape)
@@ -247,21 +264,21 @@ class _Search:
             tau = table.column("tau")[0].as_py()
             limit = tau * scale + room + 1
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            all_ = _right(q)
             for what in (0, 1, 2) if tau > 0 else (2,):
-                if what:
-                    some = table.filter(pc.equal(table.column("what"), what))
-                    at_v, v = _joined(some.column("ats"), np.int64), _joined(some.column("values"), np.int16).reshape(-1, window).astype(np.float32)
-                else:
-                    at_v, v = at, q
+                at_v, _, v = parts[what] if what else (at, shape, q)
                 for i in range(0, len(v) if len(at) else 0, BLOCK):
                     places = at_v[i : i + BLOCK]
-                    d = _apart(_squares(v[i : i + BLOCK], q), places, at, apart)
+                    d = _left(v[i : i + BLOCK]) @ all_
                     if what == 2:
+                        d = _apart(d, places, at, apart)
                         least = d.min(axis=1)
                         ok = np.isfinite(least)
                         found.append((places[ok], np.full(ok.sum(), -1), (np.sqrt(least[ok]) + room) / scale + 1e-6))
                         continue
-                    r, c = np.nonzero(d <= limit**2)
+                    r, c = _where(d <= np.float32(limit**2))
+                    far_enough = np.abs(places[r] - at[c]) >= apart
+                    r, c = r[far_enough], c[far_enough]
                     if not len(r):
                         continue
                     far = np.sqrt(d[r, c])
@@ -323,9 +340,9 @@ class _Search:
             z, at = windows(table)
             asked = np.array(table.column("ats")[0].as_py(), np.int64)
             x = np.frombuffer(b"".join(table.column("zs")[0].as_py()), float).reshape(-1, window)
-            who, near, far = [], [], []
+            who, near, far, all_ = [], [], [], _right(z)
             for i in range(0, len(x) if len(z) else 0, 64):
-                d = _apart(_squares(x[i : i + 64], z), asked[i : i + 64], at, apart)
+                d = _apart(_left(x[i : i + 64]) @ all_, asked[i : i + 64], at, apart)
                 least = d.min(axis=1)
                 j = (d <= least[:, None] + 1e-9).argmax(axis=1)
                 ok = np.isfinite(least)
