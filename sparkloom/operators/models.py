@@ -71,11 +71,12 @@ def local_outliers_at(df: DataFrame, key: str, x: str, y: str, counts: tuple[int
 
 
 def _density_ratios(near: DataFrame) -> DataFrame:
+    # a row for each point is too much for the driver, so none of these tables is broadcast
     edge = near.groupBy("key").agg(F.max("distance").alias("kd"))
-    reach = near.join(edge.select(F.col("key").alias("other"), "kd"), "other").withColumn("reach", F.greatest("distance", "kd"))
+    reach = near.join(edge.select(F.col("key").alias("other"), "kd").hint("merge"), "other").withColumn("reach", F.greatest("distance", "kd"))
     density = kept(reach.groupBy("key").agg((1 / F.greatest(F.avg("reach"), F.lit(1e-12))).alias("density")))
-    others = near.select("key", "other").join(density.select(F.col("key").alias("other"), F.col("density").alias("od")), "other")
-    return others.groupBy("key").agg(F.avg("od").alias("od")).join(density, "key").select("key", (F.col("od") / F.col("density")).alias("lof"))
+    others = near.select("key", "other").join(density.select(F.col("key").alias("other"), F.col("density").alias("od")).hint("merge"), "other")
+    return others.groupBy("key").agg(F.avg("od").alias("od")).join(density.hint("merge"), "key").select("key", (F.col("od") / F.col("density")).alias("lof"))
 
 
 def clusters(df: DataFrame, key: str, columns: list[str], counts: tuple[int, ...] = (2, 3, 4), seed: int = 7) -> tuple[DataFrame, int]:
